@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, token_counts
+from . import packing, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_warc_archive": warc.op3_warc_archive,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op9_pack_sequences": packing.op9_pack_sequences,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_archive": warc.OP3_SQL,
+}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, sharding, token_counts, warc
+from . import packing, secrets, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_warc_archive": warc.op3_warc_archive,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op9_pack_sequences": packing.op9_pack_sequences,
 }
 

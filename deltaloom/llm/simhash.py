@@ -61,7 +61,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 8192):
         part = hashes[at : at + 8192]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -156,7 +157,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(build_table(frequent_words(docs, text_col), path))
-    key = (path, table.id if hasattr(table, "id") else id(table))
+    key = (path, uuid.uuid4().hex)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _lookup(key, path, table.value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secrets, sharding, simhash, token_counts, warc
+from . import decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack_sequences": packing.op9_pack_sequences,
 }
 

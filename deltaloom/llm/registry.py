@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity, warc
+from . import decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity, warc, weighted_sampling
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_weighted_fingerprints": weighted_sampling.op6_weighted_fingerprints,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack_sequences": packing.op9_pack_sequences,

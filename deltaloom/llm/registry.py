@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity, warc, weighted_sampling
+from . import decontaminate, packing, secrets, sharding, simhash, suffix_dedup, token_counts, toxicity, warc, weighted_sampling
 
 QUERIES = {
     "op1_feistel_sharding": sharding.op1_feistel_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pack_sequences": packing.op9_pack_sequences,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,6 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """SQL settings that hold for the statements inside; dots are written as double underscores."""
+    keys = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files of a statement go when it ends, not when the driver collects garbage.
+FREE_SHUFFLE = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 class Scratch:
     """Named Parquet tables of one operator run.
 

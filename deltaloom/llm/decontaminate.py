@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,5 +204,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
     return every.withColumnsRenamed({"_id": id_col, "_item": item_col})
 
 
+def drop_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold an item; a filter in place, row by row, so repeated and null ids are no matter."""
+    def clean_of(sent, name):
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            if name not in _matchers:
+                _matchers.clear()
+                _matchers[name] = Matcher(sent.value, rate)
+            match = _matchers[name]
+            return pd.Series([not (text and match.find(text)) for text in texts], dtype=bool)
+
+        return clean
+
+    kept = docs
+    for block in item_blocks(benchmark, item_col, item_text, block_chars):
+        clean = clean_of(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex)
+        kept = kept.filter(clean(F.col(text_col)))
+    return kept
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

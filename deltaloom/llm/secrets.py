@@ -159,6 +159,46 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return placed.select(F.col("_id").alias(id_col), F.sort_array(F.concat(*every)).alias("found"))
 
 
+def _spans_column(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns of ``docs``, boxed, with the text and its spans."""
+    boxed = docs.select(F.struct(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).alias("_box"), F.col(text_col).alias("_text"))
+    return scan(boxed, "_box", "_text").select("_box.row", "_box.body", "found")
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span's characters replaced by ``[kind]``; overlapping spans are one, named by the first.
+
+    Texts without a span, nulls among them, stay as they are; a column
+    ``n_chars`` is kept in step with a changed text.
+    """
+    found = _spans_column(docs, text_col)
+    # Runs of overlapping spans: (start, end, kind) each, in order.
+    empty = F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")
+    last = lambda a: F.element_at(a, -1)
+
+    def merge(a: Column, r: Column) -> Column:
+        fresh = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"))
+        joined = F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], r["end"]).alias("end"), last(a)["kind"].alias("kind"))
+        overlaps = (F.size(a) > 0) & (r["start"] < F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0).cast("long")))
+        return F.when(overlaps, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(fresh)))
+
+    runs = found.select("row", "body", F.when(F.size("found") > 0, F.aggregate("found", empty, merge)).otherwise(empty).alias("runs"))
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(F.col("runs"), F.greatest(i, F.lit(1)))["end"])
+    pieces = F.transform("runs", lambda r, i: F.concat(F.substring("body", (before(i) + 1).cast("int"), (r["start"] - before(i)).cast("int")), F.lit("["), r["kind"], F.lit("]")))
+    tail = F.substring("body", (last(F.col("runs"))["end"] + 1).cast("int"), F.length("body"))
+    changed = F.when(F.size("runs") > 0, F.concat(F.array_join(pieces, ""), tail))
+    named = runs.select("row", changed.alias("changed"))
+    out = []
+    for c in docs.columns:
+        own = F.col("row").getField(c)
+        if c == text_col:
+            own = F.coalesce("changed", own)
+        elif c == "n_chars":
+            own = F.when(F.col("changed").isNotNull(), F.length("changed").cast(docs.schema[c].dataType)).otherwise(own)
+        out.append(own.alias(c))
+    return named.select(*out)
+
+
 def _text_of(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda r: F.concat_ws(":", r["kind"], r["start"].cast("string"), r["end"].cast("string"))), ",")
 

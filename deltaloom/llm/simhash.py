@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,19 +50,8 @@ def _signed(word: int) -> int:
     return word - (1 << BITS) if word >> (BITS - 1) else word
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is set where over half of the shingle hashes set it; no words: zero."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+def _votes(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes set it."""
     n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 8192):
         part = hashes[at : at + 8192]
@@ -69,6 +59,35 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _cut(text: str | None) -> tuple[bytes, list[int], list[int]]:
+    """Words in lower case (A-Z alone) joined by blanks; where each starts and ends."""
+    words = text.encode().lower().split() if text else []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    return b" ".join(words), (ends - sizes).tolist(), ends.tolist()
+
+
+def _shingle_hashes(joined: bytes, starts: list[int], ends: list[int], shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, of the whole sequence if it is shorter."""
+    digest = xxhash.xxh64_intdigest
+    if len(starts) <= shingle:
+        return np.array([digest(joined, SEED)] if starts else [], dtype="<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)], dtype="<u8")
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text; no words: zero."""
+    return _votes(_shingle_hashes(*_cut(text), shingle))
+
+
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as if from another seed."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp the fingerprint as a signed long."""
 
@@ -203,6 +222,113 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     return marked.join(classes, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
+COPY_BITS = 32
+COPY_SHINGLE = 5
+
+
+def _copy_marks(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns and four words: two fingerprints of single words, two of five-word shingles."""
+
+    @F.pandas_udf("u long, v long, s long, t long")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(texts), 4), np.uint64)
+        for i, text in enumerate(texts):
+            cut = _cut(text)
+            words, shingles = _shingle_hashes(*cut, 1), _shingle_hashes(*cut, COPY_SHINGLE)
+            out[i] = [_votes(words), _votes(_again(words)), _votes(shingles), _votes(_again(shingles))]
+        return pd.DataFrame(out.view(np.int64), columns=["u", "v", "s", "t"])
+
+    return docs.withColumn("_m", marks(F.col(text_col)))
+
+
+def _copy_forest(rows: np.ndarray, radius: int, far: int) -> list[tuple[int, int]]:
+    """Spanning forest among (node, word, s, t): word within ``radius``, s and t together within ``far``."""
+    left, out = rows, []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            head = front.pop()
+            bits = np.bitwise_count((left[:, 1:] ^ head[1:]).view(np.uint64))
+            near = (bits[:, 0] <= radius) & (bits[:, 1].astype(np.int64) + bits[:, 2] <= far)
+            if near.any():
+                found = left[near]
+                out.extend((int(head[0]), int(n)) for n in found[:, 0])
+                front.extend(found)
+                left = left[~near]
+    return out
+
+
+def copy_links(distinct: DataFrame, scratch: Scratch, radius: int, far: int, bucket: int) -> DataFrame:
+    """(a, b) among rows (node, u, v, s, t): u or v within ``radius`` bits and (s, t) within ``far``.
+
+    A bucket of more than ``bucket`` rows is dealt into chunks, and every pair
+    of chunks meets in a task of its own; each task gives a spanning forest.
+    """
+    keys = [F.struct(F.lit(k * 64 + n).cast("long").alias("t0"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), F.col(c).alias("word")) for k, c in enumerate("uv") for n, m in enumerate(masks(radius))]
+    keyed = distinct.select("node", "s", "t", F.explode(F.array(*keys)).alias("e")).select("e.t0", "e.key", "node", "e.word", "s", "t")
+    crowded = scratch.write(keyed.groupBy("t0", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket), "crowded_copies")
+    group = ["t0", "key", "i", "j"]
+    plain = keyed.join(crowded, ["t0", "key"], "left_anti").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    chunks = F.ceil(F.col("n") / bucket).cast("long")
+    own = F.pmod(F.xxhash64("node"), chunks)
+    full = keyed.join(crowded, ["t0", "key"]).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    full = full.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("n", "c", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 8), np.int64)
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+            if not len(held):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], (held[1:, :4] != held[:-1, :4]).any(axis=1)]))
+            stop = len(held) if batch is None else int(new[-1])
+            starts = new[new < stop]
+            sizes = np.diff(np.append(starts, stop))
+            found = []
+            pairs = starts[sizes == 2]  # most buckets: settled together
+            if len(pairs):
+                bits = np.bitwise_count((held[pairs, 5:] ^ held[pairs + 1, 5:]).view(np.uint64)).astype(np.int64)
+                hit = pairs[(bits[:, 0] <= radius) & (bits[:, 1] + bits[:, 2] <= far)]
+                found.extend(zip(held[hit, 4].tolist(), held[hit + 1, 4].tolist(), strict=True))
+            for k in np.flatnonzero(sizes > 2):
+                found.extend(_copy_forest(held[starts[k] : starts[k] + sizes[k], 4:], radius, far))
+            held = held[stop:].copy()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    rows = plain.unionByName(full).select(*group, "node", "word", "s", "t")
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def drop_copies(docs: DataFrame, radius: int = RADIUS, far: int = COPY_BITS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of exact and near copies: the one with the smallest id.
+
+    For copies that differ in whole sentences, fingerprints of four-word
+    shingles lie far apart, those of single words do not.  So candidates are
+    found by covering hashing of two single-word fingerprints (``radius`` bits
+    in one of them), and a pair is a copy if its five-word-shingle fingerprints,
+    128 bits in all, differ in ``far`` bits or fewer, which pairs of a shingle
+    similarity of 0.8 do and unrelated texts do not.
+
+    Null and empty texts are copies of each other; null ids are kept last; of
+    repeated rows one stays; columns pass through, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    columns = docs.columns
+    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = scratch.write(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked")
+    words = marked.select("id", "rid", "_m.*").withColumn("node", F.xxhash64("u", "v", "s", "t"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
+    distinct = scratch.write(words.groupBy("node").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.first("s").alias("s"), F.first("t").alias("t"), F.min(place).alias("least")), "distinct")
+    edges = scratch.write(copy_links(distinct.drop("least"), scratch, radius, far, bucket), "links")
+    roots = components(edges, scratch).withColumnRenamed("node", "_node")
+    rooted = distinct.select("node", "least").join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
+    scratch.drop("distinct", "links", "crowded_copies")
+    return marked.join(kept, F.col("rid") == F.col("_rid"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

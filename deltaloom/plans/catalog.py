@@ -1,15 +1,16 @@
-"""Registry of queries over the table model."""
+"""All queries over the table model."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import joins, log, predicates, versions
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["joins", "log", "predicates", "versions"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql() -> dict:
+    return dict(ORACLES)

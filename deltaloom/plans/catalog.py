@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import joins, log, predicates, versions
+from . import aggregates, joins, log, predicates, sequences, versions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["joins", "log", "predicates", "versions"]
+__all__ = ["aggregates", "joins", "log", "predicates", "sequences", "versions"]
 
 
 def queries() -> dict:

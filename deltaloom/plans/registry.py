@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,8 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            ORACLES[key] = MODEL_SQL + sql
+            # ``at`` is a column of the model and a keyword of the SQL dialect.
+            ORACLES[key] = MODEL_SQL + re.sub(r"\bat\b", '"at"', sql)
         return f
 
     return add

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, log, predicates, sequences, versions
+from . import aggregates, chunks, joins, log, placement, policy, predicates, scalar, sequences, versions
 from .registry import ORACLES, QUERIES
 
-__all__ = ["aggregates", "joins", "log", "predicates", "sequences", "versions"]
+__all__ = ["aggregates", "chunks", "joins", "log", "placement", "policy", "predicates", "scalar", "sequences", "versions"]
 
 
 def queries() -> dict:

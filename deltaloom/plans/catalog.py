@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, chunks, joins, log, placement, policy, predicates, scalar, sequences, versions
+from . import aggregates, chunks, joins, log, placement, policy, predicates, scalar, sequences, versions, views
 from .registry import ORACLES, QUERIES
 
-__all__ = ["aggregates", "chunks", "joins", "log", "placement", "policy", "predicates", "scalar", "sequences", "versions"]
+__all__ = ["aggregates", "chunks", "joins", "log", "placement", "policy", "predicates", "scalar", "sequences", "versions", "views"]
 
 
 def queries() -> dict:

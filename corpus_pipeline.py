@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents at or over their language's toxicity threshold go."""
     net = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, net)
-    return scored.filter(F.col("_score") < toxicity.threshold_of(net)).select(docs.columns)
+    return scored.filter(F.col(toxicity.SCORE) < toxicity.threshold_of(net)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ HELD_OUT = 2
 #: A language with fewer labelled toxic rows than this in the calibration part takes the common threshold.
 LANG_POSITIVES = 20
 CACHE_WORDS = 300_000
+#: Column that :func:`score` adds.
+SCORE = "__toxicity_score"
 _PAD = max(WIDTHS) - 1
 _WORD = regex.compile(r"\w+").findall
 
@@ -280,7 +282,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_score``: the toxicity of every whole text."""
+    """All columns of ``docs`` and ``SCORE``: the toxicity of every whole text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(net)
 
@@ -297,7 +299,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     import pandas as pd
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("_score", F.pandas_udf(run, "double")(F.col(text_col)))
+    return docs.withColumn(SCORE, F.pandas_udf(run, "double")(F.col(text_col)))
 
 
 def threshold_of(net: Network, lang_col: str = "lang"):
@@ -321,7 +323,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = score(docs.select(id_col, lang_col, text_col), net, id_col, text_col)
     held_out = F.coalesce(_remainder(id_col) == HELD_OUT, F.lit(False))
     return scored.select(
-        id_col, held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"), threshold_of(net, lang_col).alias("lang_threshold"), (F.col("_score") >= threshold_of(net, lang_col)).alias("flagged")
+        id_col, held_out.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"), threshold_of(net, lang_col).alias("lang_threshold"), (F.col(SCORE) >= threshold_of(net, lang_col)).alias("flagged")
     )
 
 

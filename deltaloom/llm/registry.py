@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_warc_archive": warc.OP3_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }

@@ -179,11 +179,23 @@ def merge_plan(shards: DataFrame) -> DataFrame:
     return a.join(b, "edge").filter(~F.col("a_busy") & ~F.col("b_busy")).select("a", "b")
 
 
-def merge_copy(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both shards' deltas interleaved by key, clock, seq, shard and numbered anew from one."""
+def merge_copy(left: DataFrame, right: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Both shards' deltas interleaved by key, clock, seq, shard and numbered anew from one.
+
+    Numbers add up from three counts: before the key's range of ``width`` keys,
+    before the key in its range, and in the key.  Only the counts per range, not
+    the deltas, pass through one task.
+    """
     from . import log
 
-    return left.unionByName(right).withColumn("new_seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*log.merge_order())).cast("long"))
+    both = left.unionByName(right).withColumn("_range", F.floor(F.col("key") / width))
+    earlier = lambda w, by: F.coalesce(F.sum("_n").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = both.groupBy("_range", "key").agg(F.count("*").alias("_n"))
+    ranges = keys.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    range_starts = ranges.select("_range", earlier(Window.partitionBy(F.lit(0)), "_range").alias("_r"))
+    key_starts = keys.select("_range", "key", earlier(Window.partitionBy("_range"), "key").alias("_k")).join(range_starts, "_range").drop("_range")
+    own = F.row_number().over(Window.partitionBy("key").orderBy(*log.merge_order()))
+    return both.drop("_range").join(key_starts, "key").withColumn("new_seq", (F.col("_r") + F.col("_k") + own).cast("long")).drop("_r", "_k")
 
 
 def merge_allowed(shards: Column, nodes: Column, floor: Column) -> Column:

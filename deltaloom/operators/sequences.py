@@ -67,6 +67,12 @@ def survivors(entries: DataFrame, budget: int) -> DataFrame:
     return entries.withColumn("_sum", F.sum("size").over(order)).filter(F.col("pinned") | (F.col("_sum") <= budget)).drop("_sum")
 
 
+def newest_entries(entries: DataFrame, by: str, at: str, entry: str, limit: int) -> DataFrame:
+    """What a cache of ``limit`` entries holds in the end if the oldest goes first; ties by entry."""
+    newest = Window.partitionBy(by).orderBy(F.desc(at), F.desc(entry))
+    return entries.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit).drop("_n")
+
+
 def token_bucket(calls: DataFrame, per_second: int) -> DataFrame:
     """Admission in fixed windows of a second: the first ``per_second`` calls of each owner pass."""
     second = F.floor(F.col("at_ms") / 1000)

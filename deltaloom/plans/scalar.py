@@ -138,6 +138,19 @@ def ec_route(spark, d):
     return routed.select("ref", F.col("z.i").cast("long").alias("fragment"), F.col("z.peer").alias("peer"))
 
 
+@query("SELECT doc_id AS ref, sha256(coalesce(text, '')) AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 1 END::BIGINT AS fragments FROM documents")
+def ec_collect(spark, d):
+    """Fragments as peers return them, put back by index and decoded; a replicated chunk is whole at index zero."""
+    coded = _coded(spark, d)
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("payload").alias("f")))
+    pieces = F.slice(F.transform("fragments", lambda f, i: F.struct(i.alias("i"), f.alias("f"))), 2, 4)
+    sent = coded.select("ref", F.octet_length("payload").alias("n"), F.explode(F.when(F.col("ref") % 2 == 0, pieces).otherwise(whole)).alias("p"))
+    got = sent.groupBy("ref", "n").agg(F.map_from_entries(F.collect_list(F.struct("p.i", "p.f"))).alias("m"))
+    by_index = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("m")[i])
+    back = F.when(F.col("ref") % 2 == 0, coding.ec_decode(4, 2)(by_index, F.col("n"))).otherwise(F.col("m")[F.lit(0)])
+    return got.select("ref", F.sha2(back, 256).alias("chunk_id"), F.size("m").cast("long").alias("fragments"))
+
+
 @query("SELECT doc_id AS ref, true AS aligned, sha256(coalesce(text, '')) AS chunk_id FROM documents")
 def compress_pad(spark, d):
     padded = _docs(spark, d).select("ref", coding.compress_pad(512)(F.col("text").cast("binary")).alias("z"))

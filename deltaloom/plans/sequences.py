@@ -81,6 +81,12 @@ def lru_evict(spark, d):
     return s.survivors(entries, 2000).select("cache", "entry", "size")
 
 
+@query("SELECT source % 8 AS cache, id AS entry FROM history QUALIFY row_number() OVER (PARTITION BY source % 8 ORDER BY at_ms DESC, id DESC) <= 64")
+def oldest_evict(spark, d):
+    entries = model.history(spark, d).select((F.col("source") % 8).alias("cache"), F.col("id").alias("entry"), "at_ms")
+    return s.newest_entries(entries, "cache", "at_ms", "entry", 64).select("cache", "entry")
+
+
 @query(", c AS (SELECT category AS owner, id, at_ms // 600000 AS second FROM history) SELECT owner, id, second, row_number() OVER (PARTITION BY owner, second ORDER BY id) <= 1 AS admitted FROM c")
 def token_bucket(spark, d):
     calls = model.history(spark, d).select(F.col("category").alias("owner"), "id", F.expr("at_ms div 600").alias("at_ms"))

@@ -9,11 +9,14 @@ threshold of its own, used for decisions, never for the score.
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +59,7 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.flat, self.ends = [0], [1]
+        self.flat, self.ends = array("i", [0]), array("i", [1])
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self.ends)
@@ -110,15 +113,15 @@ class Network:
         ids, starts, sizes = _joined(docs)
         x = vectors[ids]
         n = len(ids) - _PAD
-        maps = []
+        pooled, best = [], []
         for conv, w in zip(self.convs, WIDTHS, strict=True):
             z = x[:n] @ conv[0]
             for o in range(1, w):
                 z += x[o : n + o] @ conv[o]
-            maps.append(z)
-        z = np.concatenate(maps, axis=1)
-        best = np.stack([s + z[s : s + k].argmax(axis=0) for s, k in zip(starts, sizes, strict=True)])
-        return z[best, np.arange(z.shape[1])], best, ids, x
+            at = np.stack([s + z[s : s + k].argmax(axis=0) for s, k in zip(starts, sizes, strict=True)])
+            best.append(at)
+            pooled.append(z[at, np.arange(FILTERS)])
+        return np.concatenate(pooled, axis=1), np.concatenate(best, axis=1), ids, x
 
     def raw(self, docs: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
         if not docs:
@@ -267,7 +270,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
     """Fits on at most ``max_rows`` labelled rows outside the held-out remainder.
 
     Rows of equal id count as one label each, toxic if any says so; of repeated
-    documents every row is fitted.  Only the chosen rows reach the driver.
+    documents every row is fitted.  One task trains; a lost one is run again.
     """
     ok = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     ok = ok.filter(F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(4)) != HELD_OUT).groupBy("k").agg(F.max("y").cast("int").alias("y"))
@@ -275,10 +278,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     # ``chosen`` holds max_rows narrow rows at most: the bound that lets it be broadcast.
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
-    got = rows.select(F.col("id").cast("string").alias("id"), "y", "lang", "text").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["id"], r["lang"] or "", r["text"] or ""))
-    held_back = np.array([zlib.crc32(r["id"].encode()) % 4 == 3 for r in got], dtype=bool)
-    return fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), [r["lang"] for r in got], held_back)
+    chosen_rows = rows.select(F.col("id").cast("string").alias("id"), "y", "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in batch.to_pylist()]
+        got.sort(key=lambda r: (r["id"], r["lang"] or "", r["text"] or ""))
+        held_back = np.array([zlib.crc32(r["id"].encode()) % 4 == 3 for r in got], dtype=bool)
+        net = fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), [r["lang"] for r in got], held_back)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # The sample is bounded, so one task can hold it; the driver receives the weights alone.
+    trained = chosen_rows.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(bytes(trained["net"])) if trained else fit([], np.zeros(0, np.int64), [], np.zeros(0, bool))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -268,11 +268,15 @@ def copy_links(distinct: DataFrame, scratch: Scratch, radius: int, far: int, buc
     keyed = distinct.select("node", "s", "t", F.explode(F.array(*keys)).alias("e")).select("e.t0", "e.key", "node", "e.word", "s", "t")
     crowded = scratch.write(keyed.groupBy("t0", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket), "crowded_copies")
     group = ["t0", "key", "i", "j"]
-    plain = keyed.join(crowded, ["t0", "key"], "left_anti").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    chunks = F.ceil(F.col("n") / bucket).cast("long")
-    own = F.pmod(F.xxhash64("node"), chunks)
-    full = keyed.join(crowded, ["t0", "key"]).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    full = full.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("n", "c", "o")
+    whole = {"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}
+    if crowded.limit(1).count():
+        chunks = F.ceil(F.col("n") / bucket).cast("long")
+        own = F.pmod(F.xxhash64("node"), chunks)
+        full = keyed.join(crowded, ["t0", "key"]).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        full = full.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("n", "c", "o")
+        rows = keyed.join(crowded, ["t0", "key"], "left_anti").withColumns(whole).unionByName(full)
+    else:  # nothing to part from the rest, so the rows need not move for a join
+        rows = keyed.withColumns(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 8), np.int64)
@@ -297,7 +301,7 @@ def copy_links(distinct: DataFrame, scratch: Scratch, radius: int, far: int, buc
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    rows = plain.unionByName(full).select(*group, "node", "word", "s", "t")
+    rows = rows.select(*group, "node", "word", "s", "t")
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .token_counts import load_tokenizer
+from .token_counts import _UNSURE, load_tokenizer
 
 MAX_LEN = 4096
 END_ID = 2
@@ -37,24 +38,58 @@ _RANK_BITS = 44
 _UNSURE_BLANK = regex.compile(r"[\x1c-\x1f᠎​﻿]")
 
 
+_word_ids: dict[str, "WordIds"] = {}
+
+
+def word_ids(path: str) -> "WordIds":
+    """The worker's cache for a tokenizer; it outlives a task."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(load_tokenizer(path))
+    return _word_ids[path]
+
+
+#: Fixed value: how the tokenizer cuts its normalized text.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class PieceIds(dict):
+    """Normalized piece of a word -> its ids, straight from the vocabulary's merges."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        byte_level = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        self.symbols = {b: chr(b) for b in byte_level}
+        self.symbols |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.symbols)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        symbols = piece if piece.isascii() and piece.isalnum() else "".join(map(self.symbols.__getitem__, piece.encode()))
+        ids = self[piece] = np.array([t.id for t in self.tokenize(symbols)], dtype="<u4").tobytes()
+        return ids
+
+
 class WordIds(dict):
     """Blank-separated word -> its ids, little-endian, 4 bytes each.
 
     The tokenizer drops blanks before it looks at words, so a text's ids are
-    its words' ids in a row.  Two generations bound the memory: a full cache
-    becomes the old one, from which words in use come back.
+    its words' ids in a row, and a word's are its pieces' ids.  Words with a
+    special string or with characters that the two libraries may not class
+    alike go to the tokenizer itself.  A full cache starts over.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.pieces, self.find = tokenizer, PieceIds(tokenizer), regex.compile(PIECE).findall
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
+        if "<|" in word or "\u03a3" in word or not word.isascii() and _UNSURE.search(word):  # a capital sigma's lower case differs
             ids = self.encode(word)
+        else:
+            plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            ids = b"".join(map(self.pieces.__getitem__, self.find(plain)))
         if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -73,7 +108,7 @@ def cut(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(load_tokenizer(path))
+        words = word_ids(path)
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             row, start, length, crc, total, rank = [], [], [], [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import FREE_SHUFFLE, Scratch, settings
 
 BITS = 64
 RADIUS = 4
@@ -222,114 +222,157 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     return marked.join(classes, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
-COPY_BITS = 32
 COPY_SHINGLE = 5
+#: Copies share at least this part of their distinct shingles, as a fraction.
+COPY_LIKENESS = (4, 5)
+#: At similarity 0.8 a pair misses all bands with a chance of (1 - 0.8**5)**40 = 1.3e-7, below 1e-9 from 0.84 on.
+COPY_BANDS = 40
+COPY_ROWS = 5
+COPY_STARS = 2
+_draw = np.random.default_rng(SEED)
+_XOR, _ODD = (_draw.integers(0, 1 << 64, COPY_BANDS * COPY_ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
+
+
+def _shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, sorted."""
+    return np.unique(_shingle_hashes(*_cut(text), COPY_SHINGLE))
+
+
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One word for each band of minima; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_XOR), _FULL, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = (hashes[None, at : at + 1024] ^ _XOR[:, None]) * _ODD[:, None]
+        least = np.minimum(least, part.min(axis=1))
+    keys = np.arange(COPY_BANDS, dtype=np.uint64)
+    for row in least.reshape(COPY_BANDS, COPY_ROWS).T:
+        keys = _again(keys ^ row)
+    return keys.view(np.int64)
 
 
 def _copy_marks(docs: DataFrame, text_col: str) -> DataFrame:
-    """All columns and four words: two fingerprints of single words, two of five-word shingles."""
+    """All columns and ``_m``: 128 bits of the words in order, the number of distinct shingles, the bands' keys."""
 
-    @F.pandas_udf("u long, v long, s long, t long")
+    @F.pandas_udf("w0 long, w1 long, n long, keys array<long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(texts), 4), np.uint64)
-        for i, text in enumerate(texts):
-            cut = _cut(text)
-            words, shingles = _shingle_hashes(*cut, 1), _shingle_hashes(*cut, COPY_SHINGLE)
-            out[i] = [_votes(words), _votes(_again(words)), _votes(shingles), _votes(_again(shingles))]
-        return pd.DataFrame(out.view(np.int64), columns=["u", "v", "s", "t"])
+        out = []
+        for text in texts:
+            words, shingles = _cut(text)[0], _shingle_set(text)
+            out.append((*np.frombuffer(xxhash.xxh3_128_digest(words), np.int64).tolist(), len(shingles), _band_keys(shingles)))
+        return pd.DataFrame(out, columns=["w0", "w1", "n", "keys"])
 
     return docs.withColumn("_m", marks(F.col(text_col)))
 
 
-def _copy_forest(rows: np.ndarray, radius: int, far: int) -> list[tuple[int, int]]:
-    """Spanning forest among (node, word, s, t): word within ``radius``, s and t together within ``far``."""
-    left, out = rows, []
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            head = front.pop()
-            bits = np.bitwise_count((left[:, 1:] ^ head[1:]).view(np.uint64))
-            near = (bits[:, 0] <= radius) & (bits[:, 1].astype(np.int64) + bits[:, 2] <= far)
-            if near.any():
-                found = left[near]
-                out.extend((int(head[0]), int(n)) for n in found[:, 0])
-                front.extend(found)
-                left = left[~near]
-    return out
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def copy_links(distinct: DataFrame, scratch: Scratch, radius: int, far: int, bucket: int) -> DataFrame:
-    """(a, b) among rows (node, u, v, s, t): u or v within ``radius`` bits and (s, t) within ``far``.
+def _long_enough(n: Column, m: Column) -> Column:
+    """Sets of so different sizes cannot be alike."""
+    part, whole = COPY_LIKENESS
+    return whole * F.least(n, m) >= part * F.greatest(n, m)
 
-    A bucket of more than ``bucket`` rows is dealt into chunks, and every pair
-    of chunks meets in a task of its own; each task gives a spanning forest.
-    """
-    keys = [F.struct(F.lit(k * 64 + n).cast("long").alias("t0"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), F.col(c).alias("word")) for k, c in enumerate("uv") for n, m in enumerate(masks(radius))]
-    keyed = distinct.select("node", "s", "t", F.explode(F.array(*keys)).alias("e")).select("e.t0", "e.key", "node", "e.word", "s", "t")
-    crowded = scratch.write(keyed.groupBy("t0", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket), "crowded_copies")
-    group = ["t0", "key", "i", "j"]
-    whole = {"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}
-    if crowded.limit(1).count():
-        chunks = F.ceil(F.col("n") / bucket).cast("long")
-        own = F.pmod(F.xxhash64("node"), chunks)
-        full = keyed.join(crowded, ["t0", "key"]).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        full = full.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("n", "c", "o")
-        rows = keyed.join(crowded, ["t0", "key"], "left_anti").withColumns(whole).unionByName(full)
-    else:  # nothing to part from the rest, so the rows need not move for a join
-        rows = keyed.withColumns(whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 8), np.int64)
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
-            if not len(held):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (held[1:, :4] != held[:-1, :4]).any(axis=1)]))
-            stop = len(held) if batch is None else int(new[-1])
-            starts = new[new < stop]
-            sizes = np.diff(np.append(starts, stop))
-            found = []
-            pairs = starts[sizes == 2]  # most buckets: settled together
-            if len(pairs):
-                bits = np.bitwise_count((held[pairs, 5:] ^ held[pairs + 1, 5:]).view(np.uint64)).astype(np.int64)
-                hit = pairs[(bits[:, 0] <= radius) & (bits[:, 1] + bits[:, 2] <= far)]
-                found.extend(zip(held[hit, 4].tolist(), held[hit + 1, 4].tolist(), strict=True))
-            for k in np.flatnonzero(sizes > 2):
-                found.extend(_copy_forest(held[starts[k] : starts[k] + sizes[k], 4:], radius, far))
-            held = held[stop:].copy()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-    rows = rows.select(*group, "node", "word", "s", "t")
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
-
-
-def drop_copies(docs: DataFrame, radius: int = RADIUS, far: int = COPY_BITS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (node, shingles) have the similarity."""
+    part, whole = COPY_LIKENESS
+
+    @F.pandas_udf("boolean")
+    def test(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(whole * both >= part * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").filter(test("x", "y")).select("a", "b")
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """In each bucket, every row with one row of another root than its own: linear in the rows."""
+    lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root", "node", "n")).alias("l"))
+    met = rows.join(lead, "key").filter((F.col("root") != F.col("l.root")) & _long_enough(F.col("n"), F.col("l.n")))
+    return met.select(*_ordered(F.col("node"), F.col("l.node")))
+
+
+def _cross_pairs(rows: DataFrame, bucket: int) -> DataFrame:
+    """In each bucket, all pairs of different roots; over ``bucket`` rows, dealt over several tasks."""
+    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("long").alias("chunks"))
+    dealt = rows.join(chunks, "key")
+    left = dealt.select("key", "node", "n", "root", F.pmod(F.xxhash64("node"), "chunks").alias("o"))
+    right = dealt.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
+    met = left.join(right, ["key", "o"]).filter((F.col("root") < F.col("root2")) & _long_enough(F.col("n"), F.col("n2")))
+    return met.select(*_ordered(F.col("node"), F.col("node2")))
+
+
+def copy_roots(rows: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
+    """(node, root) of the links among rows (key, node, n): pairs that share a key and whose shingle sets are alike.
+
+    Every link is confirmed on the whole sets.  A pair of a bucket is left
+    untested only where other links connect it already (or the sizes rule it
+    out): stars settle most of each group, then all pairs that are still apart
+    are tested.
+    """
+    tested = edges = None
+    rooted = rows.withColumn("root", F.col("node"))
+    for k in range(COPY_STARS + 1):
+        pairs = (_star_pairs(rooted) if k < COPY_STARS else _cross_pairs(rooted, bucket)).distinct()
+        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
+        with settings(scratch.spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # sets can be long
+            good = scratch.write(_alike(pairs, sets), f"links{k}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = good if edges is None else edges.unionByName(good)
+        roots = components(edges, scratch, f"cc{k}_")
+        if k < COPY_STARS:
+            known = roots.withColumnRenamed("node", "_node")
+            moved = rows.join(known, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+            apart = moved.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+            rooted = scratch.write(moved.join(apart, "key", "left_semi"), f"apart{k}")
+    return roots
+
+
+def drop_copies(docs: DataFrame, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: the one with the smallest id.
 
-    For copies that differ in whole sentences, fingerprints of four-word
-    shingles lie far apart, those of single words do not.  So candidates are
-    found by covering hashing of two single-word fingerprints (``radius`` bits
-    in one of them), and a pair is a copy if its five-word-shingle fingerprints,
-    128 bits in all, differ in ``far`` bits or fewer, which pairs of a shingle
-    similarity of 0.8 do and unrelated texts do not.
+    Near copies are texts whose sets of five-word shingles (words in lower case)
+    have a Jaccard similarity of 0.8 or more, and what such pairs connect.
+    Candidates share a band of MinHash minima of those sets, at any length and
+    wherever the texts differ; a candidate becomes a link only if the sets
+    themselves, as 64-bit hashes, have the similarity.
 
     Null and empty texts are copies of each other; null ids are kept last; of
     repeated rows one stays; columns pass through, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "copies")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "copies")
     columns = docs.columns
-    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = scratch.write(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked")
-    words = marked.select("id", "rid", "_m.*").withColumn("node", F.xxhash64("u", "v", "s", "t"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
-    distinct = scratch.write(words.groupBy("node").agg(F.first("u").alias("u"), F.first("v").alias("v"), F.first("s").alias("s"), F.first("t").alias("t"), F.min(place).alias("least")), "distinct")
-    edges = scratch.write(copy_links(distinct.drop("least"), scratch, radius, far, bucket), "links")
-    roots = components(edges, scratch).withColumnRenamed("node", "_node")
-    rooted = distinct.select("node", "least").join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
-    scratch.drop("distinct", "links", "crowded_copies")
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t).tobytes() for t in texts], dtype=object)
+
+    with settings(spark, **FREE_SHUFFLE):
+        boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        marked = scratch.write(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked")
+        place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
+        first = marked.select("id", "rid", "_m.w0", "_m.w1").groupBy("w0", "w1").agg(F.min(place).alias("least"))
+        distinct = scratch.write(first.select(F.col("least.rid").alias("node"), "least"), "distinct")
+        nodes = marked.select("rid", "_m.n", "_m.keys").join(distinct, F.col("rid") == F.col("node"), "left_semi")
+        keyed = nodes.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), "n")
+        shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+        rows = scratch.write(keyed.join(shared, "key", "left_semi"), "rows")
+        texts = marked.select(F.col("rid").alias("node"), F.col("row").getField(text_col).alias("text"))
+        sets = scratch.write(texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets")
+        roots = copy_roots(rows, sets, scratch, bucket).withColumnRenamed("node", "_node")
+        rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
+        kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
+    scratch.drop("distinct", "rows", "sets", *(f"{name}{k}" for name in ("pairs", "links", "apart") for k in range(COPY_STARS + 1)))
     return marked.join(kept, F.col("rid") == F.col("_rid"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 

@@ -118,6 +118,44 @@ def test_drop_copies_keeps_one_of_each_group(spark, edge, edge_rows, empty, buck
     assert simhash.drop_copies(empty).count() == 0
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edits(rng, text):
+    """Words appended, cut off, put before, or substituted: similarities on both sides of 0.8."""
+    words, fresh = text.split(), [f"w{rng.random()}" for _ in text.split()]
+    n = len(words)
+    some = rng.choice([0.02, 0.08, 0.15, 0.19, 0.21, 0.24, 0.28, 0.4, 0.5])
+    k = max(1, int(n * some))
+    few = {rng.randrange(n) for _ in range(max(1, k // 6))}
+    return [" ".join(w) for w in (words + fresh[:k], words[: n - k], fresh[:k] + words, [fresh[i] if i in few else w for i, w in enumerate(words)])]
+
+
+@pytest.mark.parametrize("bucket", [2, 4_096])
+def test_drop_copies_equals_exact_components(spark, bucket):
+    from .conftest import prose
+
+    rng = random.Random(11)
+    texts = []
+    for g in range(60):
+        base = prose(700 + g, rng.choice([6, 20, 60, 150, 400, 1_500]))
+        texts += [base, *(e for _ in range(2) for e in edits(rng, base))]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    close = [(i, j, likeness(sets[i], sets[j])) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]]
+    linked = [(i, j) for i, j, x in close if x >= 0.8]
+    assert len(linked) > 200 and sum(0.5 <= x < 0.8 for *_, x in close) > 200
+    want = set(classes(range(len(texts)), linked).values())
+    rows = simhash.drop_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket=bucket).collect()
+    assert {r.doc_id for r in rows} == want
+
+
 def test_weighted_fingerprints(edge, edge_rows, empty):
     rows = weighted_sampling.fingerprint(edge).collect()
     order = sorted(edge_rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))

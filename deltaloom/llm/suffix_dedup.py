@@ -1,7 +1,9 @@
-"""Removal of repeated byte strings, by difference-cover blockwise sorting of suffixes.
+"""Removal of repeated byte strings, by sorting fingerprints of windows; a difference cover thins them out.
 
 A byte is removed if a string of ``LENGTH`` bytes over it starts earlier too.
-Only the order of suffixes up to that length matters, so a suffix is a window.
+Only the equality of suffixes up to that length matters, so a suffix is a window
+and fingerprints stand for its bytes: nothing is sorted by its bytes, and no tie
+is resolved by the ranks of a cover sample.
 
 1. Blocks.  Texts lie in order of document id in blocks of about
    ``BLOCK_BYTES``; one exchange moves every text once into a table that later
@@ -20,7 +22,8 @@ Only the order of suffixes up to that length matters, so a suffix is a window.
 Suffixes travel as sorted arrays of fingerprints per block and bucket, and the
 answer comes back as one bit each; a suffix that all documents share is one
 entry per block.  Sample strings may share a fingerprint by chance (that only
-builds a few suffixes too many); windows are told apart by 64 bits.
+builds a few suffixes too many); windows are told apart by two independent
+fingerprints, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 2_000_000
 ROUNDS = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+_SECOND = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
 _JOIN_ON_BUCKETS = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
 
@@ -52,25 +56,27 @@ _JOIN_ON_BUCKETS = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
 class _Powers:
     """Powers of the multiplier and of its inverse modulo 2**64, grown on demand; symbols of the byte values."""
 
-    def __init__(self) -> None:
+    def __init__(self, multiplier: int, label: bytes) -> None:
+        self.multiplier = multiplier
         self.up = self.down = np.ones(1, np.uint64)
-        self.symbol = np.frombuffer(hashlib.shake_256(b"suffix symbols").digest(256 * 8), np.uint64)
+        self.symbol = np.frombuffer(hashlib.shake_256(label).digest(256 * 8), np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            inverse = pow(_MULTIPLIER, -1, 1 << 64)
-            for name, base in (("up", _MULTIPLIER), ("down", inverse)):
+            inverse = pow(self.multiplier, -1, 1 << 64)
+            for name, base in (("up", self.multiplier), ("down", inverse)):
                 steps = np.full(n, np.uint64(base))
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+_powers = _Powers(_MULTIPLIER, b"suffix symbols")
+_powers2 = _Powers(_SECOND, b"second suffix symbols")
 _SEGMENT = 1 << 20
 
 
-def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None, powers: _Powers = _powers) -> np.ndarray:
     """64-bit fingerprints of the strings of ``length`` bytes at positions ``at`` (all by default).
 
     Differences of prefix sums of symbol * multiplier**position, brought back
@@ -83,9 +89,9 @@ def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None) -
     for lo in range(0, n, _SEGMENT):
         hi = min(n, lo + _SEGMENT)
         part = data[lo : hi + length - 1]
-        up, down = _powers.upto(len(part))
+        up, down = powers.upto(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_powers.symbol[part] * up, out=sums[1:])
+        np.cumsum(powers.symbol[part] * up, out=sums[1:])
         if at is None:
             out[lo:hi] = (sums[length:] - sums[:-length]) * down[: hi - lo]
         else:
@@ -98,6 +104,21 @@ def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None) -
     return out
 
 
+def window_pairs(data: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """Both fingerprints of the strings at positions ``at``, a row each."""
+    return np.stack([window_hashes(data, length, at), window_hashes(data, length, at, _powers2)], axis=1)
+
+
+def _rising(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys (words or rows of words, the first counts most), and where it starts a new key."""
+    rows = keys if keys.ndim == 2 else keys[:, None]
+    order = np.argsort(rows[:, 0], kind="stable") if rows.shape[1] == 1 else np.lexsort(rows.T[::-1])
+    ordered = rows[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    return order, first
+
+
 def _inside(sizes: np.ndarray, length: int) -> np.ndarray:
     """Where a string of ``length`` bytes may start without leaving its document."""
     ends = np.cumsum(sizes)
@@ -123,9 +144,14 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def distinct_by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in rising order (which is bucket order), the bounds of buckets among them, the distinct index of each key."""
-    values, inverse = np.unique(keys, return_inverse=True)
-    return values, np.searchsorted(_bucket(values, n), np.arange(n + 1)), inverse
+    """Distinct keys in rising order (which is bucket order), the bounds of buckets among them, the distinct index of each key.
+
+    A key is a word or a row of words; its first word chooses the bucket.
+    """
+    order, first = _rising(keys)
+    values, inverse = keys[order[first]], np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return values, np.searchsorted(_bucket(values if values.ndim == 1 else values[:, 0], n), np.arange(n + 1)), inverse
 
 
 def make_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int, str]:
@@ -180,12 +206,12 @@ _MARKS = "part int, block int, bucket int, marks binary"
 
 def _emit_keys(values: np.ndarray, bounds: np.ndarray, part: int, block: int, width: int, buckets: range | np.ndarray) -> pa.RecordBatch:
     full = [b for b in buckets if bounds[b] < bounds[b + 1]]
-    low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    low = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), 8 * values[0].size)[:, :width] if len(values) else values
     blobs = [low[bounds[b] : bounds[b + 1]].tobytes() for b in full]
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "part", "block", "keys"])
 
 
-def _sort_buckets(keys: DataFrame, width: int, mark: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _sort_buckets(keys: DataFrame, width: int, mark: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """One bucket after the other: its keys are sorted and each is marked or not.
 
     ``mark`` sees the sorted keys' run starts; the marks go back as bits in the
@@ -194,13 +220,11 @@ def _sort_buckets(keys: DataFrame, width: int, mark: Callable[[np.ndarray, np.nd
 
     def close(bucket: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         sizes = [len(k) // width for _, _, k in rows]
-        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide = np.zeros((sum(sizes), 8 * -(-width // 8)), np.uint8)
         wide[:, :width] = np.frombuffer(b"".join(k for _, _, k in rows), np.uint8).reshape(-1, width)
-        order = np.argsort(wide.view("<u8").ravel(), kind="stable")  # rows come in block order
-        ordered = wide.view("<u8").ravel()[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        order, first = _rising(wide.view("<u8"))  # rows come in block order
         marks = np.empty(len(order), bool)
-        marks[order] = mark(first, ordered)
+        marks[order] = mark(first)
         bits = [np.packbits(m).tobytes() for m in np.split(marks, np.cumsum(sizes)[:-1])]
         return pa.RecordBatch.from_arrays(
             [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([b for _, b, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(bits, pa.binary())], names=["part", "block", "bucket", "marks"]
@@ -221,12 +245,12 @@ def _sort_buckets(keys: DataFrame, width: int, mark: Callable[[np.ndarray, np.nd
     return keys.repartition(F.col("bucket")).sortWithinPartitions("bucket", "part", "block").mapInArrow(run, _MARKS)
 
 
-def _repeated(first: np.ndarray, _: np.ndarray) -> np.ndarray:
+def _repeated(first: np.ndarray) -> np.ndarray:
     """Keys that another row holds too."""
     return ~(first & np.append(first[1:], True))
 
 
-def _later(first: np.ndarray, _: np.ndarray) -> np.ndarray:
+def _later(first: np.ndarray) -> np.ndarray:
     """Keys that an earlier block holds."""
     return ~first
 
@@ -304,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         edges = np.array(row["edges"] or [], np.int64).reshape(-1, 2)
         sizes = edges[:, 1] - edges[:, 0]
         at = np.repeat(edges[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return at, window_hashes(row["data"], length, at) if len(at) else np.zeros(0, np.uint64)
+        return at, window_pairs(row["data"], length, at) if len(at) else np.zeros((0, 2), np.uint64)
 
     def with_edges(marks: DataFrame | None = None) -> DataFrame:
         small = edges if marks is None else _with_marks(edges, marks)
@@ -344,9 +368,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
             def send_windows(row: dict, mine=mine) -> Iterator[pa.RecordBatch]:
                 values, bounds, _ = distinct_by_bucket(windows_of(row)[1], n_window)
-                yield _emit_keys(values, bounds, row["part"], row["block"], 8, mine)
+                yield _emit_keys(values, bounds, row["part"], row["block"], 16, mine)
 
-            found = _sort_buckets(_per_block(with_edges(), _KEYS, send_windows), 8, _later)
+            found = _sort_buckets(_per_block(with_edges(), _KEYS, send_windows), 16, _later)
             part = scratch.write(found, f"marks{k}")
             marks = part if marks is None else marks.unionByName(part)
         out = _per_block(with_edges(marks), "_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary", cut)

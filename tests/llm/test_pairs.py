@@ -272,6 +272,19 @@ def test_window_hashes_agree_across_segments(monkeypatch):
     assert (suffix_dedup.window_hashes(data, 100, at) == whole[at]).all()
 
 
+def test_windows_that_share_one_fingerprint_stay_apart(spark):
+    a, b, c = np.array([[7, 1], [7, 2], [7, 1]], np.uint64)
+    values, _, inverse = suffix_dedup.distinct_by_bucket(np.array([a, b, c]), 3)
+    assert len(values) == 2 and inverse.tolist() == [0, 1, 0]
+    rows = [(0, 0, k, bytearray(key.tobytes())) for k, key in enumerate((a, b, c))]
+    keys = spark.createDataFrame(rows, "bucket int, part int, block int, keys binary")
+    found = suffix_dedup._sort_buckets(keys, 16, suffix_dedup._later).collect()
+    assert {r.block: r.marks[0] >> 7 for r in found} == {0: 0, 1: 0, 2: 1}
+    data = np.frombuffer(random.Random(4).randbytes(400), np.uint8)
+    pairs = suffix_dedup.window_pairs(data, 100, np.arange(301))
+    assert (pairs[:, 0] != pairs[:, 1]).all()
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 3_000])
 def test_removal_of_repeats(spark, edge, edge_rows, empty, block_bytes):
     from .conftest import BASE, prose

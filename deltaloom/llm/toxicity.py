@@ -269,8 +269,9 @@ def _remainder(id_col: str):
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang") -> Network:
     """Fits on at most ``max_rows`` labelled rows outside the held-out remainder.
 
-    Rows of equal id count as one label each, toxic if any says so; of repeated
-    documents every row is fitted.  One task trains; a lost one is run again.
+    Rows of equal id count as one label each, toxic if any says so.  Equal rows
+    of a document are fitted once; rows of one id with different texts are all
+    fitted.  One task trains; a lost one is run again.
     """
     ok = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     ok = ok.filter(F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(4)) != HELD_OUT).groupBy("k").agg(F.max("y").cast("int").alias("y"))
@@ -278,7 +279,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     # ``chosen`` holds max_rows narrow rows at most: the bound that lets it be broadcast.
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
-    chosen_rows = rows.select(F.col("id").cast("string").alias("id"), "y", "lang", "text")
+    chosen_rows = rows.select(F.col("id").cast("string").alias("id"), "y", "lang", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for batch in batches for r in batch.to_pylist()]
@@ -287,7 +288,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
         net = fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), [r["lang"] for r in got], held_back)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    # The sample is bounded, so one task can hold it; the driver receives the weights alone.
+    # ``max_rows`` bounds the ids, not the texts of one id; copies are folded, so one task can hold the usual sample; the driver receives the weights alone.
     trained = chosen_rows.repartition(1).mapInArrow(run, "net binary").first()
     return pickle.loads(bytes(trained["net"])) if trained else fit([], np.zeros(0, np.int64), [], np.zeros(0, bool))
 

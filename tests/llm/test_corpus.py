@@ -1,5 +1,7 @@
 """The classifier, the pipeline and the registered queries."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -41,6 +43,16 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id: r.score for r in rows} == {r.doc_id: r.score for r in again}
 
 
+def test_repeated_rows_are_fitted_once(spark):
+    docs, labels = labelled(120)
+    # The repeated id is fitted, not held out.
+    k = next(i for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 in (0, 1))
+    schema, label_frame = "doc_id long, text string, lang string", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = toxicity.fit_on(spark.createDataFrame(docs, schema), label_frame)
+    many = toxicity.fit_on(spark.createDataFrame(docs + [docs[k]] * 60, schema), label_frame)
+    assert (one.scale, one.shift, one.by_lang) == (many.scale, many.shift, many.by_lang)
+
+
 def test_toxicity_of_edge_rows(spark, edge, empty):
     docs, labels = labelled(80)
     label_frame = spark.createDataFrame([(k % 15 + 1, 1, k % 2) for k in range(30)] + [(None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")

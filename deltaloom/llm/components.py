@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, settings
+
+#: A hub's partition is split from this size on.
+SKEW = {"spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "32m", "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "3"}
 
 
 def _large_star(both: DataFrame) -> DataFrame:
@@ -27,9 +30,15 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     Nodes are longs.  Every round is a partial aggregate and a join over the
     edges, written to the shared folder; only two sums per round reach the
     driver, to see that nothing moved.  The number of rounds grows with the
-    logarithm of a component's diameter.  A hub's edges are spread over tasks
-    by the skew join.  No edges give an empty table.
+    logarithm of a component's diameter.  The smallest neighbours are found by
+    partial aggregates, and a hub's edges meet them in a join that splits
+    partitions over ``SKEW``.  No edges give an empty table.
     """
+    with settings(scratch.spark, **SKEW):
+        return _contract(edges, scratch, label)
+
+
+def _contract(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     down = scratch.write(down, f"{label}0")
     state, k = None, 0

@@ -228,40 +228,58 @@ COPY_LIKENESS = (4, 5)
 #: At similarity 0.8 a pair misses all bands with a chance of (1 - 0.8**5)**40 = 1.3e-7, below 1e-9 from 0.84 on.
 COPY_BANDS = 40
 COPY_ROWS = 5
-COPY_STARS = 2
+#: Of one bit of each minimum, a pair at 0.8 differs in 20 of 200 on average; in more than this with a chance of 1e-8.
+SKETCH_RADIUS = 47
+SKETCH = ("s0", "s1", "s2", "s3")
+#: Rows of the Arrow batches that hold texts or shingle sets.
+TEXT_ROWS = "256"
+#: Bytes of the sets of a bucket's part that one task holds; rows and shingles of the blocks that it compares at once.
+PART_BYTES = 8 << 20
+BLOCK_ROWS = 128
+BLOCK_SHINGLES = 100_000
 _draw = np.random.default_rng(SEED)
 _XOR, _ODD = (_draw.integers(0, 1 << 64, COPY_BANDS * COPY_ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
 
 
-def _shingle_set(text: str | None) -> np.ndarray:
-    """Distinct hashes of the five-word shingles, sorted."""
-    return np.unique(_shingle_hashes(*_cut(text), COPY_SHINGLE))
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each of the band functions."""
+    least = np.full(len(_XOR), _FULL, np.uint64)
+    for at in range(0, len(hashes), 256):
+        part = hashes[None, at : at + 256] ^ _XOR[:, None]
+        part *= _ODD[:, None]
+        np.minimum(least, part.min(axis=1), out=least)
+    return least
 
 
-def _band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One word for each band of minima; none of an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_XOR), _FULL, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        part = (hashes[None, at : at + 1024] ^ _XOR[:, None]) * _ODD[:, None]
-        least = np.minimum(least, part.min(axis=1))
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """One word for each band of minima."""
     keys = np.arange(COPY_BANDS, dtype=np.uint64)
     for row in least.reshape(COPY_BANDS, COPY_ROWS).T:
         keys = _again(keys ^ row)
     return keys.view(np.int64)
 
 
+def _sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, in four words."""
+    bits = np.zeros(64 * len(SKETCH), np.uint8)
+    bits[: len(least)] = least & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
 def _copy_marks(docs: DataFrame, text_col: str) -> DataFrame:
-    """All columns and ``_m``: 128 bits of the words in order, the number of distinct shingles, the bands' keys."""
+    """All columns and ``_m``: 128 bits of the words in order, the number of distinct shingles, their SimHash, sketch and bands' keys."""
 
-    @F.pandas_udf("w0 long, w1 long, n long, keys array<long>")
+    @F.pandas_udf("w0 long, w1 long, n long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            words, shingles = _cut(text)[0], _shingle_set(text)
-            out.append((*np.frombuffer(xxhash.xxh3_128_digest(words), np.int64).tolist(), len(shingles), _band_keys(shingles)))
-        return pd.DataFrame(out, columns=["w0", "w1", "n", "keys"])
+            joined, starts, ends = _cut(text)
+            hashes = _shingle_hashes(joined, starts, ends, COPY_SHINGLE)
+            shingles = np.unique(hashes)
+            least = _minima(shingles)
+            keys = _band_keys(least) if len(shingles) else np.zeros(0, np.int64)
+            out.append((*np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64).tolist(), len(shingles), _signed(_votes(hashes)), *_sketch(least).tolist(), keys))
+        return pd.DataFrame(out, columns=["w0", "w1", "n", "fp", *SKETCH, "keys"])
 
     return docs.withColumn("_m", marks(F.col(text_col)))
 
@@ -276,6 +294,12 @@ def _long_enough(n: Column, m: Column) -> Column:
     return whole * F.least(n, m) >= part * F.greatest(n, m)
 
 
+def _may_be_alike(n: str, m: str, suffix: str) -> Column:
+    """Sizes and sketches leave the similarity open; what this refuses is below it."""
+    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s + suffix))) for s in SKETCH), F.lit(0))
+    return _long_enough(F.col(n), F.col(m)) & (differ <= SKETCH_RADIUS)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets (node, shingles) have the similarity."""
     part, whole = COPY_LIKENESS
@@ -294,46 +318,205 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(test("x", "y")).select("a", "b")
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """In each bucket, every row with one row of another root than its own: linear in the rows."""
-    lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("root").alias("h"), "root", "node", "n")).alias("l"))
-    met = rows.join(lead, "key").filter((F.col("root") != F.col("l.root")) & _long_enough(F.col("n"), F.col("l.n")))
-    return met.select(*_ordered(F.col("node"), F.col("l.node")))
-
+def _simhash_pairs(nodes: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
+    """Pairs that connect what SimHash links: each fingerprint's texts with its first, and the firsts of linked fingerprints."""
+    firsts = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    same = nodes.select("fp", "node").join(firsts, "fp").filter("node <> first").select(*_ordered(F.col("first"), F.col("node")))
+    found = scratch.write(links(firsts.select("fp"), scratch, bucket=bucket), "fplinks")
+    one, two = (firsts.select(F.col("fp").alias(c), F.col("first").alias("n" + c)) for c in "ab")
+    return same.unionByName(found.join(one, "a").join(two, "b").select(*_ordered(F.col("na"), F.col("nb")))).distinct()
 
-def _cross_pairs(rows: DataFrame, bucket: int) -> DataFrame:
-    """In each bucket, all pairs of different roots; over ``bucket`` rows, dealt over several tasks."""
-    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("long").alias("chunks"))
-    dealt = rows.join(chunks, "key")
-    left = dealt.select("key", "node", "n", "root", F.pmod(F.xxhash64("node"), "chunks").alias("o"))
-    right = dealt.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    met = left.join(right, ["key", "o"]).filter((F.col("root") < F.col("root2")) & _long_enough(F.col("n"), F.col("n2")))
-    return met.select(*_ordered(F.col("node"), F.col("node2")))
 
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """In each bucket, every row with the middle of the bucket if that has another root: linear in the rows.
 
-def copy_roots(rows: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
-    """(node, root) of the links among rows (key, node, n): pairs that share a key and whose shingle sets are alike.
+    Copies of one text are closer to it than to each other, so it shares more
+    buckets: the middle is the row with the most rows in all its buckets.
+    """
+    sizes = rows.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("size"))
+    degrees = rows.select("key", "node").join(sizes, F.col("key") == F.col("_k")).groupBy(F.col("node").alias("_n")).agg(F.sum("size").alias("degree"))
+    ranked = rows.join(degrees, F.col("node") == F.col("_n")).select(*rows.columns, "degree")
+    lead = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "root", "n", *SKETCH)).alias("l"))
+    flat = lead.select(F.col("key").alias("_key"), F.col("l.root").alias("root_l"), F.col("l.node").alias("node_l"), F.col("l.n").alias("n_l"), *(F.col(f"l.{s}").alias(s + "_l") for s in SKETCH))
+    met = rows.join(flat, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("root_l")) & _may_be_alike("n", "n_l", "_l"))
+    return met.select(*_ordered(F.col("node"), F.col("node_l"))).distinct()
+
+
+def _dealt(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """The rows with ``part``: buckets are cut into parts of about ``most`` in weight."""
+    parts = rows.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.sum(weight) / most).cast("long").alias("_parts"))
+    return rows.join(parts, F.col("key") == F.col("_k")).select(*rows.columns, F.pmod(F.xxhash64("node"), "_parts").alias("part"), "_parts")
+
+
+def _open_rows(rows: DataFrame, bucket: int) -> DataFrame:
+    """The rows whose bucket has another root's row that may be alike; parts of ``bucket`` rows meet one after the other."""
+    dealt = _dealt(rows, F.lit(1), bucket)
+    other = dealt.select(
+        F.col("key").alias("key_r"), F.col("n").alias("n_r"), F.col("root").alias("root_r"), *(F.col(s).alias(s + "_r") for s in SKETCH), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part_r")
+    )
+    met = (F.col("key") == F.col("key_r")) & (F.col("part") == F.col("part_r")) & (F.col("root") != F.col("root_r")) & _may_be_alike("n", "n_r", "_r")
+    return dealt.join(other, met, "left_semi").drop("part", "_parts")
+
+
+class _Rows:
+    """Rows of one bucket with their shingle sets."""
+
+    def __init__(self, rows: list[dict]):
+        self.node, self.root, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("node", "root", "n"))
+        self.sketch = np.array([[r[c] for c in SKETCH] for r in rows], np.int64).view(np.uint64)
+        self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+
+    def part(self, pick: np.ndarray) -> "_Rows":
+        out = object.__new__(_Rows)
+        out.node, out.root, out.n, out.sketch = self.node[pick], self.root[pick], self.n[pick], self.sketch[pick]
+        out.sets = [self.sets[i] for i in pick]
+        return out
+
+    def blocks(self) -> Iterator["_Rows"]:
+        """Cuts of ``BLOCK_ROWS`` rows at most, and ``BLOCK_SHINGLES`` shingles unless one row has more."""
+        first, total = 0, 0
+        for i, n in enumerate(self.n.tolist()):
+            if i > first and (i - first == BLOCK_ROWS or total + n > BLOCK_SHINGLES):
+                yield self.part(np.arange(first, i))
+                first, total = i, 0
+            total += n
+        yield self.part(np.arange(first, len(self.n)))
+
+    def alike(self, other: "_Rows", same: bool) -> np.ndarray:
+        """Pairs (i, j) of different roots whose sets have the similarity."""
+        part, whole = COPY_LIKENESS
+        n, m = self.n[:, None], other.n[None, :]
+        ask = (self.root[:, None] != other.root[None, :]) & (whole * np.minimum(n, m) >= part * np.maximum(n, m))
+        ask &= np.bitwise_count(self.sketch[:, None, :] ^ other.sketch[None, :, :]).sum(axis=2, dtype=np.int64) <= SKETCH_RADIUS
+        if same:
+            ask = np.triu(ask, 1)
+        if not ask.any():
+            return np.zeros((0, 2), np.int64)
+        common = self.common(other)
+        return np.argwhere(ask & (whole * common >= part * (n + m - common)))
+
+    def common(self, other: "_Rows") -> np.ndarray:
+        """Sizes of the intersections, by products of incidence matrices over slabs of the shared shingles."""
+        mine, its = np.concatenate(self.sets), np.concatenate(other.sets)
+        words = np.intersect1d(mine, its)
+        out = np.zeros((len(self.sets), len(other.sets)), np.int64)
+
+        def places(flat: np.ndarray, rows: "_Rows") -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+            hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+            row, col = np.repeat(np.arange(len(rows.sets)), rows.n)[hit], at[hit]
+            order = np.argsort(col, kind="stable")
+            return row[order], col[order]
+
+        (r1, c1), (r2, c2) = places(mine, self), places(its, other)
+        for lo in range(0, len(words), 4_096):
+            x, y = (np.zeros((len(out_rows), min(4_096, len(words) - lo)), np.float32) for out_rows in (self.sets, other.sets))
+            for matrix, row, col in ((x, r1, c1), (y, r2, c2)):
+                i, j = np.searchsorted(col, [lo, lo + 4_096])
+                matrix[row[i:j], col[i:j] - lo] = 1
+            out += np.rint(x @ y.T).astype(np.int64)
+        return out
+
+
+def _settle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside runs of equal (key, part), sorted so: the part's own rows come first, those of later parts meet them.
+
+    Only what joins two classes of the run is emitted; memory holds the part and one batch.
+    """
 
-    Every link is confirmed on the whole sets.  A pair of a bucket is left
-    untested only where other links connect it already (or the sizes rule it
-    out): stars settle most of each group, then all pairs that are still apart
-    are tested.
+    def join(one: _Rows, two: _Rows, same: bool, root: dict[int, int]) -> Iterator[tuple[int, int]]:
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, p in enumerate(one.blocks()):
+            for j, q in enumerate(two.blocks()):
+                if same and j < i:
+                    continue
+                for k, m in p.alike(q, same and i == j).tolist():
+                    x, y = top(int(p.root[k])), top(int(q.root[m]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        yield int(p.node[k]), int(q.node[m])
+
+    run, own, held, root = None, [], None, {}
+    for batch in _with_end(batches):
+        rows = batch.to_pylist() if batch is not None else []
+        found, at = [], 0
+        while at < len(rows) or batch is None:
+            r = rows[at] if at < len(rows) else None
+            here = r and (r["key"], r["part"])
+            if here != run or r["later"]:
+                if own:
+                    held, own = _Rows(own), []
+                    found += join(held, held, True, root)
+                if here != run:
+                    run, held, root = here, None, {}
+                if r is None:
+                    break
+            if not r["later"]:
+                own.append(r)
+                at += 1
+                continue
+            stop = at
+            while stop < len(rows) and rows[stop]["later"] and (rows[stop]["key"], rows[stop]["part"]) == run:
+                stop += 1
+            if held is not None:
+                found += join(_Rows(rows[at:stop]), held, False, root)
+            at = stop
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+
+def _cross_links(rows: DataFrame, sets: DataFrame, bucket: int) -> DataFrame:
+    """(a, b): links that connect what is alike among the rows of each bucket, tested on the sets; no pair is ever a row."""
+    parts = _dealt(_open_rows(rows, bucket), 8 * F.col("n"), PART_BYTES)
+    meets = parts.drop("_parts").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))))
+    told = meets.select("key", F.col("_o").alias("part"), (F.col("_o") < F.col("part")).alias("later"), "node", "root", "n", *SKETCH)
+    full = told.join(sets.select(F.col("node").alias("_n"), "shingles"), F.col("node") == F.col("_n")).drop("_n")
+    return full.repartition("key", "part").sortWithinPartitions("key", "part", "later").mapInArrow(_settle_sets, "a long, b long").distinct()
+
+
+def _joined_roots(roots: DataFrame, good: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) after the links ``good`` (a, b) have joined what ``roots`` had apart."""
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab")
+    edges = good.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(edges, scratch, name + "_").withColumnsRenamed({"node": "_old", "root": "_new"})
+    out = roots.join(moved, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return scratch.write(out, name)
+
+
+def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
+    """(node, root) of the links among nodes (node, n, fp, sketch, keys) with ``texts`` (node, text); lone nodes may lack.
+
+    Every link is confirmed on the whole shingle sets.  First what the covering
+    family links, within ``RADIUS`` bits of the SimHash of the shingles: the
+    closest copies, whole groups at once.  Then pairs that share a MinHash band,
+    where other links do not connect them already (or sizes or sketches rule
+    them out): one round of stars settles most of each bucket; what is still
+    apart is tested inside tasks, and only links come out.
     """
-    tested = edges = None
-    rooted = rows.withColumn("root", F.col("node"))
-    for k in range(COPY_STARS + 1):
-        pairs = (_star_pairs(rooted) if k < COPY_STARS else _cross_pairs(rooted, bucket)).distinct()
-        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
-        with settings(scratch.spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # sets can be long
-            good = scratch.write(_alike(pairs, sets), f"links{k}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
-        roots = components(edges, scratch, f"cc{k}_")
-        if k < COPY_STARS:
-            known = roots.withColumnRenamed("node", "_node")
-            moved = rows.join(known, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-            apart = moved.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-            rooted = scratch.write(moved.join(apart, "key", "left_semi"), f"apart{k}")
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_shingle_hashes(*_cut(t), COPY_SHINGLE)).tobytes() for t in texts], dtype=object)
+
+    close = scratch.write(_simhash_pairs(nodes, scratch, bucket), "close")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", *SKETCH)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    rows = scratch.write(keyed.join(shared, "key", "left_semi"), "rows")
+    known = rows.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    sets = scratch.write(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets")
+    good = scratch.write(_alike(close, sets), "links")
+    roots = _joined_roots(sets.select("node", F.col("node").alias("root")), good, scratch, "roots0")
+    for k, links_of in enumerate((lambda r: _alike(_star_pairs(r), sets), lambda r: _cross_links(r, sets, bucket)), 1):
+        rooted = rows.join(roots, "node")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        rooted = scratch.write(rooted.join(apart, "key", "left_semi"), f"apart{k}")
+        good = scratch.write(links_of(rooted), f"links{k}")
+        roots = _joined_roots(roots, good, scratch, f"roots{k}")
+    scratch.drop("close", "rows", "sets", "links", "firsts", "fplinks", "crowded", *(f"{name}{k}" for name in ("links", "apart") for k in (1, 2)))
     return roots
 
 
@@ -342,37 +525,31 @@ def drop_copies(docs: DataFrame, bucket: int = BUCKET, id_col: str = "doc_id", t
 
     Near copies are texts whose sets of five-word shingles (words in lower case)
     have a Jaccard similarity of 0.8 or more, and what such pairs connect.
-    Candidates share a band of MinHash minima of those sets, at any length and
-    wherever the texts differ; a candidate becomes a link only if the sets
-    themselves, as 64-bit hashes, have the similarity.
-
-    Null and empty texts are copies of each other; null ids are kept last; of
-    repeated rows one stays; columns pass through, whatever their names.
+    Candidates are texts whose SimHash of those shingles the covering family
+    links, and texts that share a band of MinHash minima, which reaches the
+    pairs near 0.8 that lie beyond SimHash's radius; a candidate becomes a link
+    only if the sets themselves, as 64-bit hashes, have the similarity.
+
+    Null and empty texts are copies of each other; very long texts are read
+    whole; null ids are kept last; of repeated rows one stays; an empty table
+    gives an empty result; columns pass through, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     columns = docs.columns
-
-    @F.pandas_udf("binary")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingle_set(t).tobytes() for t in texts], dtype=object)
-
-    with settings(spark, **FREE_SHUFFLE):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXT_ROWS, **FREE_SHUFFLE):
         boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         marked = scratch.write(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked")
         place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
         first = marked.select("id", "rid", "_m.w0", "_m.w1").groupBy("w0", "w1").agg(F.min(place).alias("least"))
         distinct = scratch.write(first.select(F.col("least.rid").alias("node"), "least"), "distinct")
-        nodes = marked.select("rid", "_m.n", "_m.keys").join(distinct, F.col("rid") == F.col("node"), "left_semi")
-        keyed = nodes.select(F.explode("keys").alias("key"), F.col("rid").alias("node"), "n")
-        shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        rows = scratch.write(keyed.join(shared, "key", "left_semi"), "rows")
+        once = marked.join(distinct.select("node"), F.col("rid") == F.col("node"), "left_semi")
+        nodes = scratch.write(once.select(F.col("rid").alias("node"), *(F.col("_m").getField(c).alias(c) for c in ("n", "fp", *SKETCH, "keys"))), "nodes")
         texts = marked.select(F.col("rid").alias("node"), F.col("row").getField(text_col).alias("text"))
-        sets = scratch.write(texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets")
-        roots = copy_roots(rows, sets, scratch, bucket).withColumnRenamed("node", "_node")
+        roots = copy_roots(nodes, texts, scratch, bucket).withColumnRenamed("node", "_node")
         rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
         kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
-    scratch.drop("distinct", "rows", "sets", *(f"{name}{k}" for name in ("pairs", "links", "apart") for k in range(COPY_STARS + 1)))
+    scratch.drop("distinct", "nodes", "roots0", "roots1", "roots2")
     return marked.join(kept, F.col("rid") == F.col("_rid"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 

@@ -156,6 +156,40 @@ def test_drop_copies_equals_exact_components(spark, bucket):
     assert {r.doc_id for r in rows} == want
 
 
+@pytest.mark.parametrize(("bucket", "held"), [(4_096, 8 << 20), (3, 3_000)])
+def test_buckets_settle_inside_tasks(spark, monkeypatch, bucket, held):
+    from .conftest import prose
+
+    monkeypatch.setattr(simhash, "PART_BYTES", held)
+    rng = random.Random(13)
+    texts = [e for g in range(12) for base in [prose(900 + g, 60)] for _ in range(2) for e in [base, *edits(rng, base)]]
+    sets = [shingle_set(t) for t in texts]
+    keys = [{k for k in range(3) if rng.random() < 0.7} for _ in texts]  # every bucket holds many texts, most of them unlike
+    roots = [rng.choice([i, i, i // 10 * 10]) for i in range(len(texts))]
+    rows, shingles = [], []
+    for i, t in enumerate(texts):
+        hashes = np.unique(simhash._shingle_hashes(*simhash._cut(t), 5))
+        sketch = simhash._sketch(simhash._minima(hashes)).tolist()
+        rows += [(k, i, len(hashes), roots[i], *sketch) for k in keys[i]]
+        shingles.append((i, bytearray(hashes.tobytes())))
+    frame = spark.createDataFrame(rows, "key long, node long, n long, root long, s0 long, s1 long, s2 long, s3 long")
+    found = {(r.a, r.b) for r in simhash._cross_links(frame, spark.createDataFrame(shingles, "node long, shingles binary"), bucket).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if keys[i] & keys[j] and roots[i] != roots[j] and likeness(sets[i], sets[j]) >= 0.8}
+    assert found <= alike and len(alike) > 100
+    own = [(i, r) for i, r in enumerate(roots)]
+    assert classes(range(len(texts)), own + sorted(found)) == classes(range(len(texts)), own + sorted(alike))
+
+
+def test_common_counts_over_slabs(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9_000, n).astype(np.uint64)) for n in (0, 1, 5, 4_000, 8_000, 20_000)]
+    rows = simhash._Rows([{"node": i, "root": i, "n": len(x), "s0": 0, "s1": 0, "s2": 0, "s3": 0, "shingles": x.tobytes()} for i, x in enumerate(sets)])
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert rows.common(rows).tolist() == want
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)
+    assert sum(len(b.sets) for b in rows.blocks()) == len(sets)
+
+
 def test_weighted_fingerprints(edge, edge_rows, empty):
     rows = weighted_sampling.fingerprint(edge).collect()
     order = sorted(edge_rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))

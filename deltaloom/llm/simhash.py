@@ -19,13 +19,14 @@ fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -205,7 +206,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     A null or empty text, or one of blanks alone, has fingerprint zero and is
     linked like any other.  Null ids are classed too but name no class unless
     all ids of one are null (then the class is null).  Repeated rows stay
-    repeated; an empty table gives an empty result; other columns are not read.
+    repeated; very long texts are read whole, their hashes counted in segments;
+    an empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, id_col, text_col, shingle), "marked")
@@ -228,9 +230,10 @@ COPY_LIKENESS = (4, 5)
 #: At similarity 0.8 a pair misses all bands with a chance of (1 - 0.8**5)**40 = 1.3e-7, below 1e-9 from 0.84 on.
 COPY_BANDS = 40
 COPY_ROWS = 5
-#: Of one bit of each minimum, a pair at 0.8 differs in 20 of 200 on average; in more than this with a chance of 1e-8.
-SKETCH_RADIUS = 47
-SKETCH = ("s0", "s1", "s2", "s3")
+#: Of four bits of each minimum, a pair at 0.8 differs in 37.5 of 200 on average; in more than this with a chance of 1e-8.
+SKETCH_RADIUS = 72
+SKETCH = tuple(f"s{i}" for i in range(-(-COPY_BANDS * COPY_ROWS * 4 // 64)))
+_NIBBLES = 0x1111111111111111
 #: Rows of the Arrow batches that hold texts or shingle sets.
 TEXT_ROWS = "256"
 #: Bytes of the sets of a bucket's part that one task holds; rows and shingles of the blocks that it compares at once.
@@ -260,16 +263,16 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, in four words."""
-    bits = np.zeros(64 * len(SKETCH), np.uint8)
-    bits[: len(least)] = least & np.uint64(1)
-    return np.packbits(bits).view(np.int64)
+    """Four bits of each minimum, sixteen in a word."""
+    low = np.zeros(16 * len(SKETCH), np.uint64)
+    low[: len(least)] = least & np.uint64(15)
+    return (low.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _copy_marks(docs: DataFrame, text_col: str) -> DataFrame:
     """All columns and ``_m``: 128 bits of the words in order, the number of distinct shingles, their SimHash, sketch and bands' keys."""
 
-    @F.pandas_udf("w0 long, w1 long, n long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    @F.pandas_udf(f"w0 long, w1 long, n long, fp long, {', '.join(f'{c} long' for c in SKETCH)}, keys array<long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
@@ -296,8 +299,13 @@ def _long_enough(n: Column, m: Column) -> Column:
 
 def _may_be_alike(n: str, m: str, suffix: str) -> Column:
     """Sizes and sketches leave the similarity open; what this refuses is below it."""
-    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s + suffix))) for s in SKETCH), F.lit(0))
-    return _long_enough(F.col(n), F.col(m)) & (differ <= SKETCH_RADIUS)
+
+    def apart(c: str) -> Column:
+        x = F.col(c).bitwiseXOR(F.col(c + suffix))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_NIBBLES)))
+
+    return _long_enough(F.col(n), F.col(m)) & (reduce(Column.__add__, map(apart, SKETCH)) <= SKETCH_RADIUS)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -387,7 +395,10 @@ class _Rows:
         part, whole = COPY_LIKENESS
         n, m = self.n[:, None], other.n[None, :]
         ask = (self.root[:, None] != other.root[None, :]) & (whole * np.minimum(n, m) >= part * np.maximum(n, m))
-        ask &= np.bitwise_count(self.sketch[:, None, :] ^ other.sketch[None, :, :]).sum(axis=2, dtype=np.int64) <= SKETCH_RADIUS
+        x = self.sketch[:, None, :] ^ other.sketch[None, :, :]
+        x |= x >> np.uint64(2)
+        x = (x | x >> np.uint64(1)) & np.uint64(_NIBBLES)
+        ask &= np.bitwise_count(x).sum(axis=2, dtype=np.int64) <= SKETCH_RADIUS
         if same:
             ask = np.triu(ask, 1)
         if not ask.any():
@@ -503,20 +514,23 @@ def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int
         return pd.Series([np.unique(_shingle_hashes(*_cut(t), COPY_SHINGLE)).tobytes() for t in texts], dtype=object)
 
     close = scratch.write(_simhash_pairs(nodes, scratch, bucket), "close")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n", *SKETCH)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    rows = scratch.write(keyed.join(shared, "key", "left_semi"), "rows")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    rows = scratch.write(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").select("key", "node"), "rows")
+    scratch.drop("firsts", "fplinks", "crowded")
     known = rows.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    known = scratch.write(known, "known")
     sets = scratch.write(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets")
+    facts = scratch.write(nodes.join(known, "node", "left_semi").select("node", "n", *SKETCH), "facts")
+    scratch.drop("nodes")
     good = scratch.write(_alike(close, sets), "links")
-    roots = _joined_roots(sets.select("node", F.col("node").alias("root")), good, scratch, "roots0")
+    roots = _joined_roots(facts.select("node", F.col("node").alias("root")), good, scratch, "roots0")
     for k, links_of in enumerate((lambda r: _alike(_star_pairs(r), sets), lambda r: _cross_links(r, sets, bucket)), 1):
         rooted = rows.join(roots, "node")
         apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        rooted = scratch.write(rooted.join(apart, "key", "left_semi"), f"apart{k}")
+        rooted = scratch.write(rooted.join(apart, "key", "left_semi").join(facts, "node"), f"apart{k}")
         good = scratch.write(links_of(rooted), f"links{k}")
         roots = _joined_roots(roots, good, scratch, f"roots{k}")
-    scratch.drop("close", "rows", "sets", "links", "firsts", "fplinks", "crowded", *(f"{name}{k}" for name in ("links", "apart") for k in (1, 2)))
+    scratch.drop("close", "rows", "known", "facts", "sets", "links", *(f"{name}{k}" for name in ("links", "apart") for k in (1, 2)))
     return roots
 
 
@@ -549,7 +563,7 @@ def drop_copies(docs: DataFrame, bucket: int = BUCKET, id_col: str = "doc_id", t
         roots = copy_roots(nodes, texts, scratch, bucket).withColumnRenamed("node", "_node")
         rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
         kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
-    scratch.drop("distinct", "nodes", "roots0", "roots1", "roots2")
+    scratch.drop("distinct", "roots0", "roots1", "roots2")
     return marked.join(kept, F.col("rid") == F.col("_rid"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 

@@ -172,7 +172,7 @@ def test_buckets_settle_inside_tasks(spark, monkeypatch, bucket, held):
         sketch = simhash._sketch(simhash._minima(hashes)).tolist()
         rows += [(k, i, len(hashes), roots[i], *sketch) for k in keys[i]]
         shingles.append((i, bytearray(hashes.tobytes())))
-    frame = spark.createDataFrame(rows, "key long, node long, n long, root long, s0 long, s1 long, s2 long, s3 long")
+    frame = spark.createDataFrame(rows, f"key long, node long, n long, root long, {', '.join(f'{c} long' for c in simhash.SKETCH)}")
     found = {(r.a, r.b) for r in simhash._cross_links(frame, spark.createDataFrame(shingles, "node long, shingles binary"), bucket).collect()}
     alike = {(i, j) for j in range(len(texts)) for i in range(j) if keys[i] & keys[j] and roots[i] != roots[j] and likeness(sets[i], sets[j]) >= 0.8}
     assert found <= alike and len(alike) > 100
@@ -183,7 +183,7 @@ def test_buckets_settle_inside_tasks(spark, monkeypatch, bucket, held):
 def test_common_counts_over_slabs(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 9_000, n).astype(np.uint64)) for n in (0, 1, 5, 4_000, 8_000, 20_000)]
-    rows = simhash._Rows([{"node": i, "root": i, "n": len(x), "s0": 0, "s1": 0, "s2": 0, "s3": 0, "shingles": x.tobytes()} for i, x in enumerate(sets)])
+    rows = simhash._Rows([{"node": i, "root": i, "n": len(x), "shingles": x.tobytes(), **dict.fromkeys(simhash.SKETCH, 0)} for i, x in enumerate(sets)])
     want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
     assert rows.common(rows).tolist() == want
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)
@@ -205,6 +205,51 @@ def test_weighted_fingerprints(edge, edge_rows, empty):
     assert weighted_sampling.fingerprint(edge.filter("doc_id = 6")).first().near_next == 1.0
 
 
+def test_signatures_do_not_depend_on_pieces(monkeypatch):
+    from .conftest import prose
+
+    texts = [prose(k, n) for k, n in enumerate((0, 1, 30, 400, 3_000, 400))]
+    whole = weighted_sampling.Sampler().signatures(texts)
+    monkeypatch.setattr(weighted_sampling, "PIECE_WORDS", 40)
+    monkeypatch.setattr(weighted_sampling, "CACHE_WORDS", 60)
+    cut = weighted_sampling.Sampler()
+    assert all((a == b).all() for a, b in zip(whole, cut.signatures(texts), strict=True))
+    assert cut.size <= 60 + 40
+
+
+def reference_signature(text):
+    """Consistent weighted sampling, a word and a sample at a time, from the same hash."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    out = []
+    for k in range(weighted_sampling.SAMPLES):
+        best = (float("inf"), 0xFFFF)
+        for word, weight in Counter(text.lower().split()).items():
+            h = xxhash.xxh64_intdigest(word.encode(), 42)
+            state = scramble((h + (k + 1) * odd) & mask)
+            u = [((scramble((state + 0xD1B54A32D192ED03 * j) & mask) >> 40) + 0.5) / 2**24 for j in range(6)]
+            r, c, b = -np.log(u[1] * u[2]), -np.log(u[3] * u[4]), u[5]
+            t = np.floor(np.log(weight) / r + b)
+            code = scramble((h + (k + 1) * odd + int(t) * 0xC2B2AE3D27D4EB4F) & mask) >> 48
+            best = min(best, (np.log(c) - r * (t - b + 1), code))
+        out.append(best[1])
+    return np.array(out)
+
+
+def test_signatures_by_definition():
+    from .conftest import prose
+
+    texts = [prose(k, n) + " again" * (k + 1) for k, n in enumerate((1, 20, 60, 150))]
+    got = weighted_sampling.Sampler().signatures(texts)
+    same = np.concatenate([reference_signature(t) == s for t, s in zip(texts, got, strict=True)])
+    assert same.mean() > 0.98  # single against double precision
+
+
 def test_likeness_estimates_generalised_jaccard():
     from .conftest import prose
 

@@ -149,6 +149,25 @@ def test_records_come_back_byte_for_byte(spark):
         assert body == (b"" if fields[b"WARC-Type"] == b"revisit" else bytes(r.payload))
 
 
+def test_index_is_read_from_the_records(spark):
+    rows = [(1, "", "a\r\n\r\nb" * 3), (2, "http://я/РР", "x" * 200_000), (3, "http://c\r\nX: 1", None), (None, None, "ü"), (5, "http://" + "я" * 900, "ü"), (5, "", "ü")]
+    pages = spark.createDataFrame([(*r, "z", "z", "z", "z", "z") for r in rows], "page_id long, url string, html string, payload string, key string, header string, id string, size string")
+    scratch = Scratch(spark, "test")
+    warc.write_archive(pages.repartition(3), scratch)
+    got = warc.read_index(spark, scratch.root).collect()
+    assert all(r.verified for r in got)
+    size = lambda t: len((t or "").encode())
+    assert Counter((r.id, r.url, r.payload_bytes) for r in got) == Counter((None if i is None else str(i), u, size(t)) for i, u, t in rows)
+    assert Counter(r.record_type for r in got) == {"response": 4, "revisit": 2}
+    # A payload that was changed where it is stored is not read back.
+    bad = spark.read.parquet(f"{scratch.root}/payloads").selectExpr("key", "CASE WHEN payload = encode('ü', 'UTF-8') THEN encode('u', 'UTF-8') ELSE payload END AS payload")
+    bad.write.parquet(f"{scratch.root}/bad")
+    scratch.drop("payloads")
+    spark.read.parquet(f"{scratch.root}/bad").write.parquet(f"{scratch.root}/payloads")
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_index(spark, scratch.root).collect()
+
+
 def test_packing(edge, edge_rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = packing.load_tokenizer(path)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 RATE = 0.06
 #: Characters of test items sent to the workers at once; more go in blocks of this size.
 BLOCK_CHARS = 1_000_000
@@ -159,14 +161,14 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The test items in blocks of bounded size, each fetched when it is needed."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[tuple[object, str]], bool]]:
+    """The test items in blocks of bounded size, each fetched when it is needed, and whether there are several."""
     items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter("t is not null").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // block_chars) if total > block_chars else 1)
     for i in range(n):
         part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i) if n > 1 else items
-        yield sorted(((r["k"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        yield sorted(((r["k"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])), n > 1
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -174,14 +176,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
 
     Null and empty texts and items match nothing; an item that repeats counts
     once, items of equal text under several ids are all named; repeated
-    documents each get their rows; an empty table gives an empty result; other
-    columns are not read.
+    documents each get their rows; very long texts are read whole; an empty
+    table gives an empty result; other columns are not read.  A benchmark of
+    several blocks takes a pass each, whose hits are written before the next
+    block is fetched: the driver and the workers hold one block.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind, item_kind = narrow.schema["_id"].dataType, benchmark.schema[item_col].dataType
+    scratch = Scratch(spark, "decontaminate")
     found = []
-    for block in item_blocks(benchmark, item_col, item_text, block_chars):
+    for block, more in item_blocks(benchmark, item_col, item_text, block_chars):
         sent = spark.sparkContext.broadcast(block)
         name = uuid.uuid4().hex
 
@@ -199,13 +204,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
                 cols = [pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64() if item_kind.typeName() == "long" else None, *[pa.int64()] * 4))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cols], names=["_id", "_item", "start", "end", "distance", "budget"])
 
-        found.append(narrow.mapInArrow(run, f"_id {kind.simpleString()}, _item {item_kind.simpleString()}, start long, end long, distance long, budget long"))
+        hits = narrow.mapInArrow(run, f"_id {kind.simpleString()}, _item {item_kind.simpleString()}, start long, end long, distance long, budget long")
+        if more:
+            hits = scratch.write(hits, f"hits{len(found)}")
+            sent.unpersist()
+        found.append(hits)
     every = reduce(DataFrame.unionByName, found)
     return every.withColumnsRenamed({"_id": id_col, "_item": item_col})
 
 
 def drop_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold an item; a filter in place, row by row, so repeated and null ids are no matter."""
+    """``docs`` without the rows that hold an item; a filter in place, row by row, so repeated and null ids are no matter.
+
+    Null and empty texts hold nothing and stay; very long texts are read whole;
+    an empty table stays empty, and an empty benchmark drops nothing; all
+    columns pass through, whatever their names.  A benchmark of several blocks
+    takes a pass each, and what a pass leaves is written before the next.
+    """
     def clean_of(sent, name):
         @F.pandas_udf("boolean")
         def clean(texts: pd.Series) -> pd.Series:
@@ -217,10 +232,16 @@ def drop_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
 
         return clean
 
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
     kept = docs
-    for block in item_blocks(benchmark, item_col, item_text, block_chars):
-        clean = clean_of(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex)
-        kept = kept.filter(clean(F.col(text_col)))
+    for k, (block, more) in enumerate(item_blocks(benchmark, item_col, item_text, block_chars)):
+        sent = spark.sparkContext.broadcast(block)
+        kept = kept.filter(clean_of(sent, uuid.uuid4().hex)(F.col(text_col)))
+        if more:
+            kept = scratch.write(kept, f"kept{k}")
+            scratch.drop(f"kept{k - 1}")
+            sent.unpersist()
     return kept
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one where none is set and one machine does all (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

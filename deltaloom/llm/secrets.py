@@ -168,8 +168,10 @@ def _spans_column(docs: DataFrame, text_col: str) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span's characters replaced by ``[kind]``; overlapping spans are one, named by the first.
 
-    Texts without a span, nulls among them, stay as they are; a column
-    ``n_chars`` is kept in step with a changed text.
+    Texts without a span, nulls and empty ones among them, stay as they are, and
+    very long ones are scanned whole; repeated rows are redacted each; an empty
+    table stays empty; other columns pass through, whatever their names, but a
+    column ``n_chars`` is kept in step with a changed text.
     """
     found = _spans_column(docs, text_col)
     # Runs of overlapping spans: (start, end, kind) each, in order.

@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     def send_sample(row: dict) -> Iterator[pa.RecordBatch]:
         _, values, bounds, inverse = sample_of(row)
-        # A string that repeats inside the block is repeated whatever others hold: sent twice.
+        # What repeats inside the block is known here; each of its strings is sent once.
         yield _emit_keys(values, bounds, row["part"], row["block"], width, range(n_sample))
 
     def candidates(row: dict) -> Iterator[pa.RecordBatch]:

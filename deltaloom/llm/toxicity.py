@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: At most this many labelled rows are fitted: the ones with the smallest hash of their id.
 TRAIN_ROWS = 8_000
+#: Of those, in the same order, as many as have this many bytes of text together.
+TRAIN_BYTES = 128 << 20
 BUCKETS = 1 << 16
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -266,12 +268,13 @@ def _remainder(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang") -> Network:
+def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", max_bytes: int = TRAIN_BYTES) -> Network:
     """Fits on at most ``max_rows`` labelled rows outside the held-out remainder.
 
-    Rows of equal id count as one label each, toxic if any says so.  Equal rows
-    of a document are fitted once; rows of one id with different texts are all
-    fitted.  One task trains; a lost one is run again.
+    Rows of equal id count as one label each, toxic if any says so.  Of the rows
+    of one id one is fitted, the one with the smallest hash of language and
+    text, so ``max_rows`` bounds rows and ``max_bytes`` their texts, however
+    often an id repeats.  One task trains on them; a lost one is run again.
     """
     ok = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     ok = ok.filter(F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(4)) != HELD_OUT).groupBy("k").agg(F.max("y").cast("int").alias("y"))
@@ -279,17 +282,24 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_co
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     # ``chosen`` holds max_rows narrow rows at most: the bound that lets it be broadcast.
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
-    chosen_rows = rows.select(F.col("id").cast("string").alias("id"), "y", "lang", "text").distinct()
+    each = rows.select("id", "y", F.struct(F.xxhash64("lang", "text").alias("h"), "lang", "text").alias("row"))
+    chosen_rows = each.groupBy("id", "y").agg(F.min("row").alias("row")).select(F.xxhash64("id").alias("at"), F.col("id").cast("string").alias("id"), "y", "row.lang", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in batch.to_pylist()]
+        got, room = [], max_bytes
+        for batch in batches:
+            for r in batch.to_pylist():
+                room -= len((r["text"] or "").encode())
+                if room < 0:
+                    break
+                got.append(r)
         got.sort(key=lambda r: (r["id"], r["lang"] or "", r["text"] or ""))
         held_back = np.array([zlib.crc32(r["id"].encode()) % 4 == 3 for r in got], dtype=bool)
         net = fit([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), [r["lang"] for r in got], held_back)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    # ``max_rows`` bounds the ids, not the texts of one id; copies are folded, so one task can hold the usual sample; the driver receives the weights alone.
-    trained = chosen_rows.repartition(1).mapInArrow(run, "net binary").first()
+    # ``max_rows`` and ``max_bytes`` bound what meets in the one task; the driver receives the weights alone.
+    trained = chosen_rows.repartition(1).sortWithinPartitions("at", "id").mapInArrow(run, "net binary").first()
     return pickle.loads(bytes(trained["net"])) if trained else fit([], np.zeros(0, np.int64), [], np.zeros(0, bool))
 
 
@@ -327,10 +337,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels only fit the network, and only those whose id has another remainder
     than ``HELD_OUT``; language decides ``flagged`` alone.  A null text counts
-    as empty and is scored; a null id is never held out; repeated rows pass
-    through; without usable labels of both classes the score is a constant; an
-    empty table gives an empty result; other columns are not read.
+    as empty and is scored; very long texts are scored whole; a null id is never
+    held out; repeated rows pass through; without usable labels of both classes
+    the score is a constant; a table without a language column takes the common
+    threshold; an empty table gives an empty result; other columns are not read.
     """
+    if lang_col not in docs.columns:
+        docs = docs.withColumn(lang_col, F.lit(None).cast("string"))
     net = fit_on(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col)
     scored = score(docs.select(id_col, lang_col, text_col), net, id_col, text_col)
     held_out = F.coalesce(_remainder(id_col) == HELD_OUT, F.lit(False))

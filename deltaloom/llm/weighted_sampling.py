@@ -11,6 +11,7 @@ equal samples estimates the generalised Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 SEED = 42
 CACHE_WORDS = 100_000
+#: Words whose draws are made at once, texts that are signed together, and the code points that end such a chunk.
+PIECE_WORDS = 20_000
 CHUNK = 64
+CHUNK_CHARS = 1 << 20
+_WORD = re.compile(r"\S+").finditer
 _NONE = np.full(SAMPLES, 0xFFFF, np.uint16)  # of a text without words
 
 
@@ -70,18 +75,43 @@ class Sampler:
 
     def signatures(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ``SAMPLES`` 16-bit codes per text."""
-        bags = [Counter(t.lower().split()) for t in texts]
+        out, group, room = [], [], PIECE_WORDS
+        for t in texts:
+            bag = Counter(m.group() for m in _WORD(t.lower()))
+            if len(bag) > room and group:
+                out += self._signed(group)
+                group, room = [], PIECE_WORDS
+            group.append(bag)
+            room -= len(bag)
+        return out + self._signed(group)
+
+    def _signed(self, bags: list[Counter]) -> list[np.ndarray]:
+        """Codes of bags that have ``PIECE_WORDS`` words together, or of one larger bag."""
+        if len(bags) == 1 and len(bags[0]) > PIECE_WORDS:
+            return [self._in_pieces(bags[0])]
+        self._know(set().union(*bags))
+        return [self._sign(bag)[1] if bag else _NONE for bag in bags]
+
+    def _in_pieces(self, bag: Counter) -> np.ndarray:
+        """The minimum is associative: codes of the smallest values among the pieces'."""
+        words, best, codes = sorted(bag), np.full(SAMPLES, np.inf, np.float32), _NONE
+        for i in range(0, len(words), PIECE_WORDS):
+            piece = {w: bag[w] for w in words[i : i + PIECE_WORDS]}
+            self._know(set(piece))
+            value, code = self._sign(piece)
+            best, codes = np.where(value < best, value, best), np.where(value < best, code, codes)
+        return codes
+
+    def _know(self, words: set[str]) -> None:
         if self.size > CACHE_WORDS:
             self.row.clear()
             self.size = 0
-        new = set().union(*bags).difference(self.row)
+        new = words.difference(self.row)
         if new:
             self._learn(sorted(new))
-        return [self._sign(bag) for bag in bags]
 
-    def _sign(self, bag: Counter) -> np.ndarray:
-        if not bag:
-            return _NONE
+    def _sign(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest value of each sample, and its code; the bag's words are known."""
         rows = np.fromiter(map(self.row.__getitem__, bag), np.int64, len(bag))
         weight = np.fromiter(bag.values(), np.int64, len(bag))
         rows = np.concatenate([rows[weight == 1], rows[weight > 1]])
@@ -96,7 +126,7 @@ class Sampler:
         best = value.argmin(axis=0)
         steps = np.where(best >= once, t[np.maximum(best - once, 0), np.arange(SAMPLES)] if len(heavy) else 0, 0)
         code = _scramble(self.hash[rows[best]] + self.sample + steps.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return (code >> np.uint64(48)).astype(np.uint16)
+        return value[best, np.arange(SAMPLES)], (code >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -156,8 +186,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Documents stand in falling order of id (null ids last, ties by text); the
     one after the last is the first, so a single document follows itself.  A
     null text counts as empty; texts without words have a fingerprint of their
-    own, equal among themselves.  Repeated rows follow each other like any
-    documents; an empty table gives an empty result; other columns are not read.
+    own, equal among themselves; of a very long text ``PIECE_WORDS`` words are
+    drawn for at a time.  Repeated rows follow each other like any documents; an
+    empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +218,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(i)
                 texts.append(text)
                 done = late
-                if len(texts) > CHUNK or done:
+                if len(texts) > CHUNK or done or len(texts) > 1 and sum(map(len, texts)) > CHUNK_CHARS:
                     yield flush(ids, texts)
                     ids, texts = ids[-1:], texts[-1:]
 

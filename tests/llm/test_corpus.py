@@ -53,6 +53,43 @@ def test_repeated_rows_are_fitted_once(spark):
     assert (one.scale, one.shift, one.by_lang) == (many.scale, many.shift, many.by_lang)
 
 
+def test_texts_of_one_id_are_bounded(spark):
+    docs, labels = labelled(120)
+    schema, label_frame = "doc_id long, text string, lang string", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    k = next(i for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 in (0, 1))
+    many = spark.createDataFrame(docs, schema).unionByName(spark.range(100_000).selectExpr(f"{k}L AS doc_id", "concat('other ', id) AS text", "'en' AS lang"))
+    net = toxicity.fit_on(many, label_frame)
+    assert net.constant is None
+    # Bytes bound the sample too: without room nothing is fitted.
+    assert toxicity.fit_on(many, label_frame, max_bytes=10).constant == 0.0
+
+
+def brute_score(net, words, ids):
+    """The network by its definition: every filter at every place, then its maximum."""
+    x = [np.zeros(toxicity.DIM)] if not len(ids) else []
+    for i in ids:
+        own = words.flat[words.ends[i - 1] : words.ends[i]]
+        x.append(sum(net.embed[b].astype(float) for b in own) / np.sqrt(len(own)))
+    x += [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+    n, out = len(x) - max(toxicity.WIDTHS) + 1, net.out_bias
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            top = max(sum(float(x[i + o] @ net.convs[k][o][:, f]) for o in range(w)) for i in range(n))
+            out += max(0.0, top + float(net.bias[k * toxicity.FILTERS + f])) * float(net.out[k * toxicity.FILTERS + f])
+    return out
+
+
+def test_forward_pass_by_definition():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh(3)
+    net.bias[:] = rng.normal(0, 0.1, len(net.bias))
+    net.out[:] = rng.normal(0, 1, len(net.out))
+    scorer = toxicity.Scorer(net)
+    texts = ["", None, "one", "one two", *(prose(60 + k, int(rng.integers(3, 40))) for k in range(8))]
+    got = scorer.raw(texts)
+    assert np.allclose(got, [brute_score(net, scorer.words, scorer.words.rows(t)) for t in texts], atol=1e-4)
+
+
 def test_toxicity_of_edge_rows(spark, edge, empty):
     docs, labels = labelled(80)
     label_frame = spark.createDataFrame([(k % 15 + 1, 1, k % 2) for k in range(30)] + [(None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")

@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, folder of the tables) and returns a DataFrame;
 it is written as Parquet and read again as the next stage's ``docs``.  All
 stages but the last keep the columns of ``documents``.
+
+In every stage a null text counts as empty, very long texts are read whole, ties
+are settled by id and then by content, an empty table gives an empty one, and
+further columns pass through all stages but the last, whatever their names.
+Repeated rows fare alike in every stage but near copies, where one of them stays.
 """
 
 from __future__ import annotations
@@ -17,24 +22,24 @@ from deltaloom.llm.scratch import Scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or over their language's toxicity threshold go."""
+    """Documents at or over their language's toxicity threshold go; empty texts and null ids are scored like any."""
     net = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, net)
     return scored.filter(F.col(toxicity.SCORE) < toxicity.threshold_of(net)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays, the one with the smallest id."""
+    """One document of each group of exact and near copies stays, the one with the smallest id; null ids come last, all empty texts are one group."""
     return simhash.drop_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, within its edit budget, go."""
+    """Documents that hold a benchmark item, within its edit budget, go; empty texts and an empty benchmark match nothing."""
     return decontaminate.drop_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts give way to ``[kind]``; no document goes."""
+    """Secrets in texts give way to ``[kind]``; no document goes; null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 

@@ -63,6 +63,9 @@ def inline_flag(chunks: Column, size: Column, limit: int = 4096) -> Column:
     return (chunks == 0) & (size > 0) & (size <= limit)
 
 
-def inline_key(key_tail: Column, seq: Column) -> Column:
-    """The last eight bytes of a key (as a long, little-endian) mixed with the sequence; its own inverse."""
-    return key_tail.bitwiseXOR(seq)
+def inline_key(key_hex: Column, seq: Column) -> Column:
+    """A key of 32 bytes (in hex) whose last eight are mixed with the sequence's, least byte first; its own inverse."""
+    little = F.concat(*(F.substring(F.lpad(F.lower(F.hex(seq)), 16, "0"), 15 - 2 * i, 2) for i in range(8)))
+    word = lambda text: F.conv(text, 16, -10).cast("long")
+    mixed = F.lpad(F.lower(F.hex(word(F.substring(key_hex, 49, 16)).bitwiseXOR(word(little)))), 16, "0")
+    return F.concat(F.substring(key_hex, 1, 48), mixed)

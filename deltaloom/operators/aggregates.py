@@ -14,8 +14,10 @@ def cluster_summary(nodes: DataFrame, now_ms: int, interval_ms: int) -> DataFram
 
 
 def pool_state(used: Column, capacity: Column) -> Column:
-    percent = F.when(capacity == 0, F.lit(0)).otherwise(F.floor(used * 100 / capacity))
-    return F.when(percent >= 95, "readonly").when(percent >= 85, "critical").when(percent >= 70, "warning").otherwise("ok")
+    """By the whole per cent used; exact for any 64-bit sizes.  Without capacity: ok."""
+    part, whole = used.cast("decimal(20,0)") * 100, capacity.cast("decimal(20,0)")
+    over = lambda percent: (capacity != 0) & (part >= whole * percent)
+    return F.when(over(95), "readonly").when(over(85), "critical").when(over(70), "warning").otherwise("ok")
 
 
 def capacity_status(devices: DataFrame, *by: str) -> DataFrame:
@@ -36,16 +38,16 @@ def refcount_history(changes: DataFrame) -> DataFrame:
     return changes.withColumn("raw", raw).withColumn("count", F.col("raw") - lowest).withColumn("tombstoned", F.col("count") == 0).drop("raw")
 
 
-def inline_threshold(nodes: DataFrame, files: int, floor: int = 128, top: int = 65_536) -> DataFrame:
-    """Bytes up to which objects are kept inline: the tightest node's room over the number of files, clamped.
+def inline_threshold(nodes: DataFrame, files: int, floor: int = 128, top: int = 65_536, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group ``by``, bytes up to which objects are kept inline: the tightest node's room over the number of files, clamped.
 
     A node over its hard limit brings the floor.  ``nodes``: total, used, hard.
     """
-    tight = nodes.agg(F.max((F.col("used") > F.col("hard")).cast("int")).alias("over"), F.min(F.greatest(F.col("total") - F.col("used"), F.lit(0))).alias("room"))
-    share = F.floor(F.col("room") / max(files, 1))
+    tight = nodes.groupBy(*by).agg(F.max((F.col("used") > F.col("hard")).cast("int")).alias("over"), F.min(F.greatest(F.col("total") - F.col("used"), F.lit(0))).alias("room"))
+    share = F.call_function("div", F.col("room"), F.lit(max(files, 1)).cast("long"))
     value = F.when(F.col("over") == 1, floor).otherwise(F.least(F.greatest(share, F.lit(floor)), F.lit(top)))
     reason = F.when(F.col("over") == 1, "hard_limit").when(share < floor, "floor").when(share > top, "ceiling").otherwise("computed")
-    return tight.select(value.cast("long").alias("threshold"), reason.alias("reason"))
+    return tight.select(*by, value.cast("long").alias("threshold"), reason.alias("reason"))
 
 
 def multipart_assemble(parts: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def max_clock_skew(samples: DataFrame, window: int, soft: int = 500, hard: int =
 
 def metadata_budget(total: Column, used: Column, soft_percent: int, hard_percent: int) -> list[Column]:
     """Soft and hard limit in bytes and what is left under the soft one."""
-    soft, hard = F.floor(total * soft_percent / 100), F.floor(total * hard_percent / 100)
+    soft, hard = (F.call_function("div", total, F.lit(100)) * p + F.call_function("div", total % 100 * p, F.lit(100)) for p in (soft_percent, hard_percent))
     return [soft.alias("soft"), hard.alias("hard"), F.greatest(soft - used, F.lit(0)).cast("long").alias("budget")]
 
 
@@ -101,8 +103,10 @@ def metrics_text_scan(texts: DataFrame, exact: dict[str, str], prefixes: dict[st
     """Counters of metric texts (node, text): lines ``name value``; blank and # lines are skipped.
 
     ``exact`` names assign (the last line counts), ``prefixes`` sum over labelled lines.
+    A node without such lines, or without a text, has zeros.
     """
-    lines = texts.select("node", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    lines = texts.select("node", F.posexplode_outer(F.split("text", "\n")).alias("pos", "raw"))
+    lines = lines.withColumn("line", F.when(~F.col("raw").startswith("#") & (F.trim("raw") != ""), F.col("raw")))
     parts = lines.select("node", "pos", F.substring_index("line", " ", 1).alias("key"), F.expr("try_cast(substring(line, instr(line, ' ') + 1) AS DOUBLE)").cast("long").alias("value"))
     out = [F.coalesce(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("pos"))), F.lit(0)).alias(n) for n, k in exact.items()]
     out += [F.coalesce(F.sum(F.when(F.col("key").startswith(k), F.col("value"))), F.lit(0)).alias(n) for n, k in prefixes.items()]

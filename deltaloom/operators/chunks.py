@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 64 << 20
@@ -14,28 +14,41 @@ def chunk_state(refs: DataFrame) -> DataFrame:
 
 
 def object_read(parts: DataFrame, offset: int, length: int) -> DataFrame:
-    """Objects (id) put together from ordered parts (pos, body) and sliced; at or past the end: empty and eof."""
-    whole = parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "body"))), lambda p: p["body"]), "").alias("body"))
-    size = F.length("body")
-    return whole.select("id", F.substring("body", offset + 1, length).alias("data"), (size <= offset + length).alias("eof"), size.cast("long").alias("size"))
+    """Bytes [offset, offset + length) of objects (id) that consist of ordered parts (pos, body); at or past the end: empty and eof.
+
+    Every part knows from running sizes where it lies, and only the bytes inside
+    the range are put together: a row never holds a whole object.
+    """
+    order = Window.partitionBy("id").orderBy("pos")
+    n = F.octet_length("body").cast("long")
+    placed = parts.select("id", "pos", F.col("body").cast("binary").alias("body"), n.alias("n")).withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("end") - F.col("n")
+    lo, hi = F.greatest(start, F.lit(offset)), F.least(F.col("end"), F.lit(offset + length))
+    inside = F.substring(F.col("body"), (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+    cut = placed.select("id", "end", F.when(hi > lo, F.struct("pos", inside.alias("b"))).alias("piece"))
+    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list("piece")).alias("pieces"), F.max("end").alias("size"))
+    data = F.aggregate("pieces", F.lit(b""), lambda acc, p: F.concat(acc, p["b"]))
+    return whole.select("id", data.alias("data"), (F.col("size") <= offset + length).alias("eof"), "size")
 
 
 def http_range(spec: Column, size: Column) -> dict[str, Column]:
     """Start, end (inclusive) and state of a byte-range header against a size.
 
-    ``malformed`` where it is no byte range at all, ``unsatisfiable`` for several
-    ranges, reversed ones, or ones past the end.
+    ``malformed`` where it is no byte range at all or a bound is over 64 bits,
+    ``unsatisfiable`` for several ranges, reversed ones, or ones past the end.
     """
+    spec = F.trim(spec)
     body = F.regexp_extract(spec, "^bytes=(.*)$", 1)
     a, b = F.regexp_extract(body, "^([0-9]*)-([0-9]*)$", 1), F.regexp_extract(body, "^([0-9]*)-([0-9]*)$", 2)
-    start, end = F.expr("0") + F.when(a != "", a).cast("long"), F.when(b != "", b).cast("long")
+    start, end = a.try_cast("long"), b.try_cast("long")
     suffix = (a == "") & (b != "")
     lo = F.when(suffix, F.greatest(size - end, F.lit(0))).otherwise(start)
     hi = F.when(suffix | (b == ""), size - 1).otherwise(F.least(end, size - 1))
+    overflow = (a != "") & start.isNull() | (b != "") & end.isNull()
     state = (
         F.when(~spec.rlike("^bytes="), "malformed")
         .when(body.contains(","), "unsatisfiable")
-        .when(~body.rlike("^[0-9]*-[0-9]*$") | ((a == "") & (b == "")), "malformed")
+        .when(~body.rlike("^[0-9]*-[0-9]*$") | ((a == "") & (b == "")) | overflow, "malformed")
         .when(~suffix & (start >= size) | suffix & ((end == 0) | (size == 0)) | ~suffix & (b != "") & (end < start), "unsatisfiable")
         .otherwise("ok")
     )
@@ -43,12 +56,13 @@ def http_range(spec: Column, size: Column) -> dict[str, Column]:
     return {"state": state, "first": F.when(ok, lo), "last": F.when(ok, hi)}
 
 
-def object_write_split(objects: DataFrame, piece: int) -> DataFrame:
-    """Pieces of at most ``piece`` characters with their content ids; an empty object is one empty piece."""
-    n = F.greatest(F.ceil(F.length("body") / piece), F.lit(1))
-    at = objects.select("id", "body", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("pos"))
-    part = F.substring("body", (F.col("pos") * piece + 1).cast("int"), F.lit(piece))
-    return at.select("id", "pos", F.length(part).cast("long").alias("size"), F.sha2(part, 256).alias("chunk_id"))
+def object_write_split(objects: DataFrame, piece: int = PIECE_BYTES) -> DataFrame:
+    """Pieces of at most ``piece`` bytes with their content ids; an empty object is one empty piece."""
+    whole = objects.select("id", F.col("body").cast("binary").alias("body"))
+    n = F.greatest(F.ceil(F.octet_length("body") / piece), F.lit(1))
+    at = whole.select("id", "body", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("pos"))
+    part = F.substring(F.col("body"), (F.col("pos") * piece + 1).cast("int"), F.lit(piece))
+    return at.select("id", "pos", F.octet_length(part).cast("long").alias("size"), F.sha2(part, 256).alias("chunk_id"))
 
 
 def list_objects(named: DataFrame, unnamed: DataFrame, prefix: str, start: int, max_keys: int) -> DataFrame:
@@ -94,6 +108,26 @@ def small_object_put(puts: DataFrame, store: DataFrame) -> DataFrame:
     return last.join(store.select("key", F.lit(True).alias("had")), "key", "left").select("key", "value", F.col("had").isNull().alias("is_new"))
 
 
+def small_object_log(ops: DataFrame) -> DataFrame:
+    """What every operation (key, at, op, value) on a small-object store returns, in order of ``at`` per key.
+
+    A put tells whether the key is ``new``, a delete whether it ``had`` one, a
+    get its ``value``, a contains whether it is there.
+    """
+    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    writes = F.when(F.col("op").isin("put", "delete"), F.struct((F.col("op") == "put").alias("held"), F.when(F.col("op") == "put", F.col("value")).alias("value")))
+    state = ops.withColumn("_s", F.last(writes, ignorenulls=True).over(before))
+    held = F.coalesce(F.col("_s.held"), F.lit(False))
+    flag = F.when(F.col("op") == "put", ~held).when(F.col("op").isin("delete", "contains", "get"), held)
+    return state.select("key", "at", "op", flag.alias("flag"), F.when((F.col("op") == "get") & held, F.col("_s.value")).alias("value"))
+
+
+def small_object_len(ops: DataFrame) -> DataFrame:
+    """Number of keys held, and the bytes of their values, after all operations."""
+    last = ops.filter(F.col("op").isin("put", "delete")).groupBy("key").agg(F.max_by(F.struct("op", "value"), "at").alias("s")).filter("s.op = 'put'")
+    return last.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.octet_length(F.col("s.value").cast("string"))), F.lit(0)).cast("long").alias("bytes"))
+
+
 def backup_retention(backups: DataFrame, now: int, days: int) -> DataFrame:
     """Backups (id, created, in seconds) to delete; zero days deletes all older than now."""
     return backups.filter(F.col("created") + days * 86_400 < now)
@@ -106,8 +140,6 @@ def hydrate(deltas: DataFrame) -> DataFrame:
     the version, an Update or Delete of an unknown object is skipped.  One row
     per live object: value, version, last applied seq.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("key").orderBy("seq")
     lives = deltas.withColumn("_life", F.count_if(F.col("op") == "Delete").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     life = Window.partitionBy("key", "_life").orderBy("seq")
@@ -121,8 +153,6 @@ def hydrate(deltas: DataFrame) -> DataFrame:
 
 def hydrate_outcomes(deltas: DataFrame) -> DataFrame:
     """Applied or skipped, per delta, by the rules of :func:`hydrate`."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("key").orderBy("seq")
     lives = deltas.withColumn("_life", F.count_if(F.col("op") == "Delete").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     made = F.min(F.when(F.col("op") == "Create", F.col("seq"))).over(Window.partitionBy("key", "_life"))

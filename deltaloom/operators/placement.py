@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import small
+
 
 def rendezvous_topk(chunks: DataFrame, nodes: list[int], k: int) -> DataFrame:
     """The ``k`` nodes with the highest score of md5(chunk:node), ties by node, per chunk.
@@ -61,16 +63,19 @@ def place_fragments(chunks: DataFrame, online: list[int], n: int) -> DataFrame:
 
 
 def match_flavor(requests: DataFrame, offers: DataFrame) -> DataFrame:
-    """The first offer (pos, name, transport) of the wanted name, else the first of the wanted transport."""
-    wanted = requests.join(F.broadcast(offers.withColumnsRenamed({"name": "o_name", "transport": "o_transport"})), (F.col("name") == F.col("o_name")) | (F.col("transport") == F.col("o_transport")), "left")
-    rank = F.struct((F.col("name") != F.col("o_name")).alias("other"), "pos")
-    return wanted.groupBy("request").agg(F.min_by("o_name", rank).alias("offer"))
+    """The first offer (pos, name, transport) of the wanted name, else the first of the wanted transport.  Offers are few: a request ranks them in its row."""
+    table = small.constants(offers, "pos", "name", "transport")
+    fits = F.filter(table, lambda o: (o["name"] == F.col("name")) | (o["transport"] == F.col("transport")))
+    ranked = F.transform(fits, lambda o: F.struct((~o["name"].eqNullSafe(F.col("name"))).alias("other"), o["pos"].alias("pos"), o["name"].alias("offer")))
+    return requests.select("request", F.array_min(ranked)["offer"].alias("offer"))
 
 
-def select_pool(objects: DataFrame, pools: DataFrame, small: int = 65_536) -> DataFrame:
-    """A pool (pos, pool, kind) per object: the preferred kind, else fast ones for small objects and large ones for others, else the first."""
-    fits = F.when(F.col("kind") == F.col("prefer"), 0).when((F.col("size") < small) & F.col("kind").isin("nvme", "ssd") | (F.col("size") >= small) & F.col("kind").isin("hdd", "mixed"), 1).otherwise(2)
-    return objects.crossJoin(F.broadcast(pools)).groupBy("object").agg(F.min_by("pool", F.struct(fits.alias("fit"), "pos")).alias("pool"))
+def select_pool(objects: DataFrame, pools: DataFrame, small_bytes: int = 65_536) -> DataFrame:
+    """A pool (pos, pool, kind) per object: the preferred kind, else fast ones for small objects and large ones for others, else the first.  Pools are few: an object ranks them in its row."""
+    little = F.col("size") < small_bytes
+    fit = lambda p: F.when(p["kind"] == F.col("prefer"), 0).when(little & p["kind"].isin("nvme", "ssd") | ~little & p["kind"].isin("hdd", "mixed"), 1).otherwise(2)
+    ranked = F.transform(small.constants(pools, "pos", "pool", "kind"), lambda p: F.struct(fit(p).alias("fit"), p["pos"].alias("pos"), p["pool"].alias("pool")))
+    return objects.select("object", F.array_min(ranked)["pool"].alias("pool"))
 
 
 def rebalance_ranks(devices: DataFrame, threshold_percent: int) -> DataFrame:
@@ -82,31 +87,27 @@ def rebalance_ranks(devices: DataFrame, threshold_percent: int) -> DataFrame:
 
 
 def rebalance_plan(devices: DataFrame, threshold_percent: int) -> DataFrame:
-    """Moves (from, to, bytes) per pool: the fullest device sheds its excess to the emptiest with room.
+    """Moves (pool, from, to, chunks, bytes): the k-th fullest device over the threshold sheds whole chunks to the k-th emptiest under it.
 
-    A pool's devices are few; each pool is one group.
+    ``devices`` has (pool, device, capacity, used, chunks).  Sizes are estimated
+    by a device's mean chunk; a source sheds as many of its first chunks as bring
+    it to the threshold, no more than the target has room for, and pairs that
+    move none are left out.  Sources without chunks, or with a mean of zero
+    bytes, do not take a target.
     """
-
-    def plan(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("device")
-        goal = {r.device: r.capacity * threshold_percent // 100 for r in pool.itertuples()}
-        over = sorted((r for r in pool.itertuples() if r.used > goal[r.device]), key=lambda r: (-r.used / r.capacity, r.device))
-        under = sorted((r for r in pool.itertuples() if r.used <= goal[r.device]), key=lambda r: (r.used / r.capacity, r.device))
-        room = [[r.device, goal[r.device] - r.used] for r in under]
-        rows, k = [], 0
-        for r in over:
-            excess = r.used - goal[r.device]
-            while excess > 0 and k < len(room):
-                moved = min(excess, room[k][1])
-                if moved > 0:
-                    rows.append((r.pool, r.device, room[k][0], moved))
-                excess -= moved
-                room[k][1] -= moved
-                if room[k][1] <= 0:
-                    k += 1
-        return pd.DataFrame(rows, columns=["pool", "from", "to", "bytes"])
-
-    return devices.select("pool", "device", "capacity", "used").groupBy("pool").applyInPandas(plan, "pool long, `from` long, `to` long, bytes long")
+    ratio = F.when(F.col("capacity") == 0, 0.0).otherwise(F.col("used") / F.col("capacity"))
+    goal = F.call_function("div", F.col("capacity"), F.lit(100)) * threshold_percent + F.call_function("div", F.col("capacity") % 100 * threshold_percent, F.lit(100))
+    rows = devices.withColumn("_over", (F.col("capacity") != 0) & (F.col("used").cast("decimal(20,0)") * 100 > F.col("capacity").cast("decimal(20,0)") * threshold_percent))
+    rows = rows.withColumn("_mean", F.call_function("div", F.col("used"), F.nullif(F.size("chunks").cast("long"), F.lit(0).cast("long")))).withColumn("_excess", F.col("used") - goal)
+    taking_part = ~F.col("_over") | F.coalesce((F.col("_mean") > 0) & (F.col("_excess") > 0), F.lit(False))
+    order = Window.partitionBy("pool", "_over").orderBy(F.when(F.col("_over"), -ratio).otherwise(ratio), "device")
+    ranked = rows.filter(taking_part).withColumn("_k", F.row_number().over(order))
+    source = ranked.filter("_over").select("pool", "_k", F.col("device").alias("from"), "chunks", "_mean", "_excess")
+    target = ranked.filter("not _over").select("pool", "_k", F.col("device").alias("to"), (F.col("capacity") - F.col("used")).alias("_room"))
+    needed = F.call_function("div", F.col("_excess") + F.col("_mean") - 1, F.col("_mean"))
+    n = F.greatest(F.least(needed, F.call_function("div", F.col("_room"), F.col("_mean")), F.size("chunks").cast("long")), F.lit(0).cast("long"))
+    moves = source.join(target, ["pool", "_k"]).withColumn("_n", n).filter("_n > 0")
+    return moves.select("pool", "from", "to", F.slice("chunks", F.lit(1), F.col("_n").cast("int")).alias("chunks"), (F.col("_n") * F.col("_mean")).alias("bytes"))
 
 
 def best_fit(needs: DataFrame, free: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
-KNOWN_SEVERITIES = ("info", "warning", "critical")
+#: The severities and categories that a request may name.
+KNOWN_SEVERITIES = ("info", "warning", "error", "critical")
+KNOWN_CATEGORIES = ("node", "shard", "device", "tenant", "security", "admin", "gateway", "raft")
 
 
 def audit_query(events: DataFrame, tenant: str | None, first_seq: int = 0, kind: str | None = None, limit: int | None = None) -> DataFrame:
@@ -31,10 +33,10 @@ def event_query(events: DataFrame, now_ms: int, hours: int, severity: str | None
     return found
 
 
-def event_api(events: DataFrame, now_ms: int, hours: int = 3, severity: str | None = None, category: str | None = None, limit: int = 100) -> DataFrame:
-    """As :func:`event_query`, newest first; an unknown severity filters nothing."""
-    known = severity if severity in KNOWN_SEVERITIES else None
-    return event_query(events, now_ms, hours, known, category).orderBy(F.desc("at_ms"), F.desc("id")).limit(limit)
+def event_api(events: DataFrame, now_ms: int, hours: float = 3, severity: str | None = None, category: str | None = None, limit: int = 100) -> DataFrame:
+    """As :func:`event_query`, newest first; an unknown severity or category filters nothing."""
+    known = [value if value in values else None for value, values in ((severity, KNOWN_SEVERITIES), (category, KNOWN_CATEGORIES))]
+    return event_query(events, now_ms, hours, *known).orderBy(F.desc("at_ms"), F.desc("id")).limit(limit)
 
 
 def history_since(points: DataFrame, now_ms: int, hours: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import small
+
 
 def version_chain(deltas: DataFrame) -> DataFrame:
     """(key, seq, at_ms, version, deleted, current): ordinals in the chain, the latest is current.
@@ -27,5 +29,14 @@ def get_version(chain: DataFrame, version: int) -> DataFrame:
 
 def pinned_read(deltas: DataFrame, pins: DataFrame) -> DataFrame:
     """The newest delta of each key at or before each pin (pin, position)."""
-    seen = deltas.crossJoin(F.broadcast(pins)).filter(F.col("seq") <= F.col("position"))  # pins: one row per open snapshot
-    return seen.groupBy("pin", "key").agg(F.max("seq").alias("seq"))
+    open_ = small.constants(pins, "pin", "position")
+    # One pass over the log: every key keeps a maximum per open snapshot.
+    n = len(pins.select("pin").limit(small.MOST).collect())
+    tops = deltas.groupBy("key").agg(*(F.max(F.when(F.col("seq") <= open_[i]["position"], F.col("seq"))).alias(f"_{i}") for i in range(n)))
+    seen = tops.select("key", F.explode(F.array(*(F.struct(open_[i]["pin"].alias("pin"), F.col(f"_{i}").alias("seq")) for i in range(n)))).alias("s")) if n else tops.select("key", F.explode(F.array().cast("array<struct<pin:bigint,seq:bigint>>")).alias("s"))
+    return seen.select("s.pin", "key", "s.seq").filter("seq IS NOT NULL")
+
+
+def live_pins(pins: DataFrame, now_ms: int) -> DataFrame:
+    """Pins (pin, position, acquired_ms, ttl_ms) that still hold their snapshot; at the end of its time a pin still counts."""
+    return pins.filter(F.lit(now_ms) - F.col("acquired_ms") <= F.col("ttl_ms"))

@@ -55,17 +55,18 @@ def refcount_history(spark, d):
 
 
 @query("""
-, t AS (SELECT max(CASE WHEN used > 9990 THEN 1 ELSE 0 END) AS over_, min(greatest(capacity - used, 0)) AS room FROM devices WHERE used < 9900)
-SELECT (CASE WHEN over_ = 1 THEN 128 ELSE least(greatest(room // 2, 128), 65536) END)::BIGINT AS threshold, CASE WHEN over_ = 1 THEN 'hard_limit' WHEN room // 2 < 128 THEN 'floor' WHEN room // 2 > 65536 THEN 'ceiling' ELSE 'computed' END AS reason FROM t
+, t AS (SELECT pool, max(CASE WHEN used > 9990 THEN 1 ELSE 0 END) AS over_, min(greatest(capacity - used, 0)) AS room FROM devices GROUP BY pool)
+SELECT pool, (CASE WHEN over_ = 1 THEN 128 ELSE least(greatest(room // 2, 128), 65536) END)::BIGINT AS threshold, CASE WHEN over_ = 1 THEN 'hard_limit' WHEN room // 2 < 128 THEN 'floor' WHEN room // 2 > 65536 THEN 'ceiling' ELSE 'computed' END AS reason FROM t
 """)
 def inline_threshold(spark, d):
-    nodes = model.devices(spark, d).filter("used < 9900").select(F.col("capacity").alias("total"), "used", F.lit(9990).alias("hard"))
-    return a.inline_threshold(nodes, 2)
+    """One threshold per pool: some have a node over its limit."""
+    nodes = model.devices(spark, d).select("pool", F.col("capacity").alias("total"), "used", F.lit(9990).alias("hard"))
+    return a.inline_threshold(nodes, 2, by=("pool",))
 
 
-@query("SELECT conv_id AS upload, sum(length(text))::BIGINT AS size, count(*) AS parts FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS upload, sum(strlen(text))::BIGINT AS size, count(*) AS parts FROM conversations GROUP BY 1")
 def multipart_size(spark, d):
-    return model.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("upload")).agg(F.sum(F.length("text").cast("long")).alias("size"), F.count("*").alias("parts"))
+    return model.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("upload")).agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.count("*").alias("parts"))
 
 
 @query("SELECT tenant AS dataset, sum(size)::BIGINT AS bytes, count(*) AS chunks FROM chunk_refs GROUP BY 1")
@@ -85,9 +86,9 @@ def total_events(spark, d):
     return model.deltas(spark, d).groupBy("shard").agg(F.count("*").alias("events"), F.max("seq").alias("tip"))
 
 
-@query("SELECT project AS \"group\", CASE WHEN count(DISTINCT workload % 12) < 5 THEN -1.0 ELSE max(quota)::DOUBLE END AS saturation FROM workload WHERE workload % 5 = 0 GROUP BY 1")
+@query("SELECT project AS \"group\", CASE WHEN count(DISTINCT workload % 12) < 5 THEN -1.0 ELSE max(quota)::DOUBLE END AS saturation FROM workload GROUP BY 1")
 def kanon_saturation(spark, d):
-    rows = model.workloads(spark, d).filter("workload % 5 = 0").select(F.col("project").alias("group"), (F.col("workload") % 12).alias("member"), F.col("quota").alias("value"))
+    rows = model.workloads(spark, d).select(F.col("project").alias("group"), (F.col("workload") % 12).alias("member"), F.col("quota").alias("value"))
     return a.kanon_saturation(rows)
 
 

@@ -21,33 +21,35 @@ def chunk_state_get(spark, d):
     return state.join(F.broadcast(state.agg(F.min("chunk_id").alias("chunk_id"))), "chunk_id").select("tenant", "chunk_id", "refcount", "size")
 
 
-@query("SELECT conv_id AS id, substr(string_agg(text, '' ORDER BY turn), 101, 50) AS data, length(string_agg(text, '' ORDER BY turn)) <= 150 AS eof, length(string_agg(text, '' ORDER BY turn))::BIGINT AS size FROM conversations GROUP BY 1")
+@query("""
+, o AS (SELECT conv_id AS id, hex(encode(string_agg(text, '' ORDER BY turn))) AS h, strlen(string_agg(text, '' ORDER BY turn))::BIGINT AS size FROM conversations GROUP BY 1)
+SELECT id, substr(h, 2 * 100 + 1, 2 * 50) AS data, size <= 150 AS eof, size FROM o
+""")
 def object_read(spark, d):
     parts = model.table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.col("text").alias("body"))
-    return c.object_read(parts, 100, 50)
+    return c.object_read(parts, 100, 50).withColumn("data", F.hex("data"))
 
 
-_SPECS = ("bytes=0-99", "bytes=500-", "bytes=-100", "bytes=9-3", "bytes=0-1,5-6", "items=1-2", "bytes=-", "bytes=-0", "bytes=999999999-", "bytes=x-3")
+_SPECS = ("bytes=0-99", "bytes=500-", "bytes=-100", "bytes=9-3", "bytes=0-1,5-6", "items=1-2", "bytes=-", "bytes=-0", "bytes=999999999-", "bytes=x-3", " bytes=2-9 ", "bytes=99999999999999999999-", "bytes=0-99999999999999999999")
 
 
 @query(f"""
-, s AS (SELECT ref, size, spec FROM chunk_refs, (VALUES {", ".join(f"('{x}')" for x in _SPECS)}) v(spec) WHERE ref % 10 = 0),
-p AS (SELECT *, regexp_extract(spec, '^bytes=(.*)$', 1) AS body FROM s),
+, s AS (SELECT ref, size, spec, trim(spec) AS spec_ FROM chunk_refs, (VALUES {", ".join(f"('{x}')" for x in _SPECS)}) v(spec)),
+p AS (SELECT *, regexp_extract(spec_, '^bytes=(.*)$', 1) AS body FROM s),
 q AS (SELECT *, regexp_extract(body, '^([0-9]*)-([0-9]*)$', 1) AS a, regexp_extract(body, '^([0-9]*)-([0-9]*)$', 2) AS b FROM p),
 r AS (SELECT *, try_cast(nullif(a, '') AS BIGINT) AS lo, try_cast(nullif(b, '') AS BIGINT) AS hi FROM q),
-t AS (SELECT *, CASE WHEN NOT starts_with(spec, 'bytes=') THEN 'malformed' WHEN contains(body, ',') THEN 'unsatisfiable' WHEN NOT regexp_full_match(body, '[0-9]*-[0-9]*') OR (a = '' AND b = '') THEN 'malformed'
+t AS (SELECT *, CASE WHEN NOT starts_with(spec_, 'bytes=') THEN 'malformed' WHEN contains(body, ',') THEN 'unsatisfiable' WHEN NOT regexp_full_match(body, '[0-9]*-[0-9]*') OR (a = '' AND b = '') OR (a <> '' AND lo IS NULL) OR (b <> '' AND hi IS NULL) THEN 'malformed'
   WHEN (a <> '' AND lo >= size) OR (a = '' AND (hi = 0 OR size = 0)) OR (a <> '' AND b <> '' AND hi < lo) THEN 'unsatisfiable' ELSE 'ok' END AS state FROM r)
 SELECT ref, spec, state, CASE WHEN state = 'ok' THEN CASE WHEN a = '' THEN greatest(size - hi, 0) ELSE lo END END AS "first", CASE WHEN state = 'ok' THEN CASE WHEN a = '' OR b = '' THEN size - 1 ELSE least(hi, size - 1) END END AS "last" FROM t
 """)
 def http_range(spark, d):
-    specs = spark.createDataFrame([(s,) for s in _SPECS], "spec string")
-    rows = model.chunk_refs(spark, d).filter("ref % 10 = 0").crossJoin(F.broadcast(specs))
+    rows = model.chunk_refs(spark, d).withColumn("spec", F.explode(F.array(*map(F.lit, _SPECS))))
     return rows.select("ref", "spec", *(x.alias(k) for k, x in c.http_range(F.col("spec"), F.col("size")).items()))
 
 
 @query("""
-, o AS (SELECT doc_id AS id, coalesce(text, '') AS body FROM documents), p AS (SELECT id, body, unnest(generate_series(0, greatest(CAST(ceil(length(body) / 1000.0) AS BIGINT), 1) - 1)) AS pos FROM o)
-SELECT id, pos, length(substr(body, pos * 1000 + 1, 1000))::BIGINT AS size, sha256(substr(body, pos * 1000 + 1, 1000)) AS chunk_id FROM p
+, o AS (SELECT doc_id AS id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents), p AS (SELECT id, h, unnest(generate_series(0, greatest((n + 999) // 1000, 1) - 1)) AS pos FROM o)
+SELECT id, pos, (length(substr(h, pos * 2000 + 1, 2000)) // 2)::BIGINT AS size, sha256(from_hex(substr(h, pos * 2000 + 1, 2000))) AS chunk_id FROM p
 """)
 def object_write_split(spark, d):
     objects = model.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
@@ -91,6 +93,28 @@ def small_object_kv(spark, d):
     return c.small_object_put(puts, h.filter("id < 300").select(F.col("source").alias("key")).distinct())
 
 
+_OPS = ", o AS (SELECT source AS key, id AS at, CASE WHEN category = 'error' THEN 'delete' WHEN category = 'view' THEN 'get' WHEN category = 'click' THEN 'contains' ELSE 'put' END AS op, amount AS value FROM history)"
+
+
+def _ops(spark, d):
+    op = F.when(F.col("category") == "error", "delete").when(F.col("category") == "view", "get").when(F.col("category") == "click", "contains").otherwise("put")
+    return model.history(spark, d).select(F.col("source").alias("key"), F.col("id").alias("at"), op.alias("op"), F.col("amount").alias("value"))
+
+
+@query(_OPS + """,
+s AS (SELECT *, last_value(CASE op WHEN 'put' THEN 1 WHEN 'delete' THEN 0 END IGNORE NULLS) OVER w AS held, last_value(CASE op WHEN 'put' THEN value WHEN 'delete' THEN -1 END IGNORE NULLS) OVER w AS was FROM o
+ WINDOW w AS (PARTITION BY key ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT key, at, op, CASE op WHEN 'put' THEN coalesce(held, 0) = 0 ELSE coalesce(held, 0) = 1 END AS flag, CASE WHEN op = 'get' AND held = 1 THEN was END AS value FROM s
+""")
+def small_object_log(spark, d):
+    return c.small_object_log(_ops(spark, d))
+
+
+@query(_OPS + ", l AS (SELECT key, arg_max(op, at) AS op, arg_max(value, at) AS value FROM o WHERE op IN ('put', 'delete') GROUP BY 1) SELECT count(*) AS keys, coalesce(sum(strlen(value::VARCHAR)), 0)::BIGINT AS bytes FROM l WHERE op = 'put'")
+def small_object_len(spark, d):
+    return c.small_object_len(_ops(spark, d))
+
+
 @query("SELECT id, created FROM (SELECT id, at_ms // 1000 AS created FROM history) WHERE created + 7 * 86400 < 1706659200")
 def backup_retention(spark, d):
     backups = model.history(spark, d).select("id", F.expr("at_ms div 1000").alias("created"))
@@ -139,9 +163,9 @@ def cache_outcomes(spark, d):
 
 @query("SELECT tenant AS dataset, ref FROM chunk_refs WHERE tenant NOT IN ('src1', 'src2')")
 def staging_release(spark, d):
-    staged = model.chunk_refs(spark, d).groupBy(F.col("tenant").alias("dataset")).agg(F.collect_list("ref").alias("chunks"))
+    staged = model.chunk_refs(spark, d).select(F.col("tenant").alias("dataset"), "ref")
     released = spark.createDataFrame([("src1",), ("src2",)], "dataset string")
-    return staged.join(F.broadcast(released), "dataset", "left_anti").select("dataset", F.explode("chunks").alias("ref"))
+    return staged.join(released, "dataset", "left_anti")
 
 
 @query("SELECT id FROM history WHERE 1706659200000 - at_ms <= 864000000")

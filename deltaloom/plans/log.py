@@ -40,9 +40,9 @@ def stalled_consumers(spark, d):
     return log.stalled_consumers(model.consumers(spark, d), 5)
 
 
-@query("SELECT consumer, max(position) AS position FROM (SELECT consumer, position FROM consumers UNION ALL SELECT consumer, seq FROM deltas WHERE seq % 7 = 0) GROUP BY 1")
+@query("SELECT consumer, max(position) AS position FROM (SELECT consumer, position FROM consumers UNION ALL SELECT consumer, seq FROM deltas) GROUP BY 1")
 def consumer_advance(spark, d):
-    moves = model.deltas(spark, d).filter("seq % 7 = 0").select("consumer", F.col("seq").alias("position"))
+    moves = model.deltas(spark, d).select("consumer", F.col("seq").alias("position"))
     return log.consumer_advance(model.consumers(spark, d), moves, buffered=2**63 - 1)
 
 

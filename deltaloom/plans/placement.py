@@ -59,9 +59,18 @@ def rebalance_ranks(spark, d):
     return p.rebalance_ranks(model.devices(spark, d), 60)
 
 
-@query()
+@query("""
+, g AS (SELECT pool, device, capacity, used, used // 700 AS n FROM devices),
+v AS (SELECT *, used * 100 > capacity * 60 AS over_, CASE WHEN n > 0 THEN used // n END AS mean, used - capacity * 60 // 100 AS excess FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool, over_ ORDER BY CASE WHEN over_ THEN -(used / capacity) ELSE used / capacity END, device) AS k FROM v WHERE NOT over_ OR (mean > 0 AND excess > 0)),
+m AS (SELECT s.pool, s.device AS src, t.device AS dst, s.mean, least((s.excess + s.mean - 1) // s.mean, (t.capacity - t.used) // s.mean, s.n) AS moved FROM r s JOIN r t ON s.pool = t.pool AND s.k = t.k AND s.over_ AND NOT t.over_)
+SELECT pool, src AS "from", dst AS "to", array_to_string(list_transform(range(moved), lambda i: src * 100 + i), ',') AS chunks, moved * mean AS bytes FROM m WHERE moved > 0
+""")
 def rebalance_plan(spark, d):
-    return p.rebalance_plan(model.devices(spark, d), 60)
+    n = F.expr("used div 700")
+    chunks = F.transform(F.slice(F.sequence(F.lit(0).cast("long"), n), F.lit(1), n.cast("int")), lambda i: F.col("device") * 100 + i)
+    moves = p.rebalance_plan(model.devices(spark, d).withColumn("chunks", chunks), 60)
+    return moves.withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT pool AS device, count(*) AS chunks, array_to_string(list(device ORDER BY device), ',') AS targets FROM devices WHERE online GROUP BY 1")
@@ -94,17 +103,17 @@ def merge_copy(spark, d):
 
 
 @query("""
-, n AS (SELECT source % 9 AS volume, id AS need, amount AS bytes FROM history WHERE id % 11 = 0), f AS (SELECT source % 9 AS volume, id AS extent, amount AS bytes FROM history WHERE id % 7 = 3)
-SELECT n.volume, n.need, arg_min(f.extent, f.bytes * 1000000 + f.extent) AS extent FROM n LEFT JOIN f ON n.volume = f.volume AND f.bytes >= n.bytes GROUP BY 1, 2
+, n AS (SELECT source % 9 AS volume, id AS need, amount AS bytes FROM history), f AS (SELECT source % 9 AS volume, amount + 3 AS bytes, min(id) AS extent FROM history GROUP BY 1, 2)
+SELECT n.volume, n.need, arg_min(f.extent, f.bytes) AS extent FROM n LEFT JOIN f ON n.volume = f.volume AND f.bytes >= n.bytes GROUP BY 1, 2
 """)
 def best_fit_extent(spark, d):
     h = model.history(spark, d).withColumn("volume", F.col("source") % 9)
-    return p.best_fit(h.filter("id % 11 = 0").select("volume", F.col("id").alias("need"), F.col("amount").alias("bytes")), h.filter("id % 7 = 3").select("volume", F.col("id").alias("extent"), F.col("amount").alias("bytes")))
+    return p.best_fit(h.select("volume", F.col("id").alias("need"), F.col("amount").alias("bytes")), h.select("volume", F.col("id").alias("extent"), (F.col("amount") + 3).alias("bytes")))
 
 
-@query("SELECT source AS peer, coalesce(arg_min(category, id) FILTER (amount % 3 = 0 AND amount > 10), 'tcp-tls') AS transport, count(*) FILTER (NOT amount > 10) AS reprobe FROM history WHERE id % 9 = 0 GROUP BY 1")
+@query("SELECT source AS peer, coalesce(arg_min(category, id) FILTER (amount % 3 = 0 AND amount > 10), 'tcp-tls') AS transport, count(*) FILTER (NOT amount > 10) AS reprobe FROM history GROUP BY 1")
 def transport_select(spark, d):
-    rows = model.history(spark, d).filter("id % 9 = 0").select(F.col("source").alias("peer"), F.col("category").alias("transport"), F.col("id").alias("rank"), (F.col("amount") % 3 == 0).alias("available"), (F.col("amount") > 10).alias("healthy"))
+    rows = model.history(spark, d).select(F.col("source").alias("peer"), F.col("category").alias("transport"), F.col("id").alias("rank"), (F.col("amount") % 3 == 0).alias("available"), (F.col("amount") > 10).alias("healthy"))
     return p.transport_select(rows)
 
 

@@ -112,8 +112,8 @@ def priority_cap(spark, d):
     return _h(spark, d).select("workload", p.priority_cap(at(F.col("workload")), at(F.col("org"))).alias("allowed"))
 
 
-@query(_H + ", s AS (SELECT workload, ['enabled', 'draining', 'disabled'][1 + workload % 3] AS a, ['enabled', 'draining', 'disabled'][1 + (workload // 3) % 3] AS b FROM h) SELECT workload, a = b OR (a || '>' || b) IN ('enabled>draining', 'draining>disabled', 'draining>enabled', 'disabled>enabled') AS allowed FROM s")
+@query(_H + ", s AS (SELECT workload, ['enabled', 'draining', 'disabled'][1 + workload % 3] AS a, ['enabled', 'draining', 'disabled'][1 + (workload // 3) % 3] AS b, workload % 2 = 0 AS adm FROM h) SELECT workload, CASE a || '>' || b WHEN 'enabled>draining' THEN true WHEN 'draining>disabled' THEN true WHEN 'enabled>disabled' THEN adm ELSE false END AS allowed FROM s")
 def opt_out_transition(spark, d):
     states = F.array(*map(F.lit, ("enabled", "draining", "disabled")))
     before, after = (F.element_at(states, (k % 3 + 1).cast("int")) for k in (F.col("workload"), F.expr("workload div 3")))
-    return _h(spark, d).select("workload", p.opt_out_transition(before, after).alias("allowed"))
+    return _h(spark, d).select("workload", p.opt_out_transition(before, after, F.col("workload") % 2 == 0).alias("allowed"))

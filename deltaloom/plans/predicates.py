@@ -34,9 +34,22 @@ def event_query(spark, d):
     return p.event_query(model.history(spark, d), NOW, 240, "critical").select("id", "severity", "category")
 
 
-@query(f"SELECT id, severity, category, at_ms FROM history WHERE at_ms >= {NOW} - 240 * 3600000 AND category = 'view' ORDER BY at_ms DESC, id DESC LIMIT 100")
+_KINDS = {"error": "device", "view": "gateway", "click": "raft"}
+
+
+@query(f"""
+, e AS (SELECT id, at_ms, CASE category {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} ELSE category END AS category, CASE WHEN category = 'error' AND id % 2 = 0 THEN 'error' ELSE severity END AS severity FROM history WHERE at_ms >= {NOW} - 240 * 3600000),
+u AS (SELECT 'known' AS request, * FROM e WHERE severity = 'error' AND category = 'device' ORDER BY at_ms DESC, id DESC LIMIT 100),
+v AS (SELECT 'unknown' AS request, * FROM e ORDER BY at_ms DESC, id DESC LIMIT 100)
+SELECT request, id, severity, category, at_ms FROM u UNION ALL SELECT request, id, severity, category, at_ms FROM v
+""")
 def event_api(spark, d):
-    return p.event_api(model.history(spark, d), NOW, 240, "no such severity", "view").select("id", "severity", "category", "at_ms")
+    """A request of known names, and one whose names are none of the known ones and so filter nothing."""
+    kind = F.coalesce(F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))[F.col("category")], F.col("category"))
+    severity = F.when((F.col("category") == "error") & (F.col("id") % 2 == 0), "error").otherwise(F.col("severity"))
+    events = model.history(spark, d).select("id", "at_ms", severity.alias("severity"), kind.alias("category"))
+    ask = lambda name, *x: p.event_api(events, NOW, 240, *x).select(F.lit(name).alias("request"), "id", "severity", "category", "at_ms")
+    return ask("known", "error", "device").unionByName(ask("unknown", "no such severity", "purchase"))
 
 
 @query(f"SELECT id, source, amount FROM history WHERE at_ms >= {NOW} - 100 * 3600000")

@@ -18,9 +18,9 @@ WITH deltas AS (
          event_type = 'error' AS tombstone, epoch_us(ts) // 1000 AS at_ms, CAST(floor(value) AS BIGINT) AS payload_size
   FROM events),
 consumers AS (SELECT event_type AS consumer, max(event_id) AS position FROM events GROUP BY 1),
-chunk_refs AS (SELECT doc_id AS ref, sha256(coalesce(text, '')) AS chunk_id, length(coalesce(text, ''))::BIGINT AS size, source AS tenant FROM documents),
+chunk_refs AS (SELECT doc_id AS ref, sha256(coalesce(text, '')) AS chunk_id, strlen(coalesce(text, ''))::BIGINT AS size, source AS tenant FROM documents),
 chunk_meta AS (SELECT doc_id AS ref, quality = 0 AS tombstoned FROM labels),
-names AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS ns, regexp_extract(url, '^https?://[^/]+/?(.*)$', 1) AS name, page_id AS id, length(html)::BIGINT AS size FROM pages),
+names AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS ns, regexp_extract(url, '^https?://[^/]+/?(.*)$', 1) AS name, page_id AS id, strlen(html)::BIGINT AS size FROM pages),
 locks AS (SELECT user_id AS file, event_type AS owner, event_type <> 'view' AS write_lock, event_id AS lock_id, event_id % 1000 AS off, CAST(floor(value) AS BIGINT) AS len, epoch_us(ts) // 1000 AS acquired_ms FROM events),
 devices AS (SELECT s_suppkey AS device, s_nationkey::BIGINT AS pool, 10000::BIGINT AS capacity, least(greatest(CAST(floor(s_acctbal) AS BIGINT), 0), 10000) AS used, s_suppkey % 10 <> 0 AS online FROM supplier),
 org AS (SELECT r_regionkey::BIGINT AS org, r_name AS org_name FROM region),

@@ -89,10 +89,13 @@ def inline_flag(spark, d):
     return model.chunk_refs(spark, d).select("ref", scalar.inline_flag(F.col("ref") % 3, F.col("size"), 1000).alias("inlined"))
 
 
-@query("SELECT ref, xor(('0x' || substr(chunk_id, 50, 15))::BIGINT, ref) AS mixed FROM chunk_refs")
+@query("""
+, s AS (SELECT ref, chunk_id, lpad(lower(hex(ref)), 16, '0') AS h FROM chunk_refs),
+b AS (SELECT *, list_transform(range(8), lambda i: xor(('0x' || substr(chunk_id, 49 + 2 * i::INT, 2))::INT, ('0x' || substr(h, 15 - 2 * i::INT, 2))::INT)) AS tail FROM s)
+SELECT ref, substr(chunk_id, 1, 48) || array_to_string(list_transform(tail, lambda x: lpad(lower(hex(x)), 2, '0')), '') AS mixed FROM b
+""")
 def inline_key(spark, d):
-    tail = F.conv(F.substring("chunk_id", 50, 15), 16, 10).cast("long")
-    return model.chunk_refs(spark, d).select("ref", scalar.inline_key(tail, F.col("ref")).alias("mixed"))
+    return model.chunk_refs(spark, d).select("ref", scalar.inline_key(F.col("chunk_id"), F.col("ref")).alias("mixed"))
 
 
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS dump FROM events")

@@ -32,7 +32,7 @@ def consumers(spark: SparkSession, d: str) -> DataFrame:
 def chunk_refs(spark: SparkSession, d: str) -> DataFrame:
     """References to content-addressed chunks."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("ref"), F.sha2(text, 256).alias("chunk_id"), F.length(text).cast("long").alias("size"), F.col("source").alias("tenant"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("ref"), F.sha2(text, 256).alias("chunk_id"), F.octet_length(text).cast("long").alias("size"), F.col("source").alias("tenant"))
 
 
 def chunk_meta(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def chunk_meta(spark: SparkSession, d: str) -> DataFrame:
 def names(spark: SparkSession, d: str) -> DataFrame:
     """Names of objects by namespace."""
     return table(spark, d, "pages").select(
-        F.regexp_extract("url", "^https?://([^/]+)", 1).alias("ns"), F.regexp_extract("url", "^https?://[^/]+/?(.*)$", 1).alias("name"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("size")
+        F.regexp_extract("url", "^https?://([^/]+)", 1).alias("ns"), F.regexp_extract("url", "^https?://[^/]+/?(.*)$", 1).alias("name"), F.col("page_id").alias("id"), F.octet_length("html").cast("long").alias("size")
     )
 
 

@@ -23,8 +23,9 @@ def view_poll(deltas: DataFrame, cursors: DataFrame, batch: int = 1000) -> DataF
     A shard advances to the largest sequence among its next ``batch``; a shard
     with nothing new holds the view where it is.
     """
-    ahead = cursors.join(deltas.select("shard", "seq"), "shard", "left").filter(F.col("seq").isNull() | (F.col("seq") <= F.col("position")) | (F.col("seq") <= F.col("position") + batch))
-    per_shard = ahead.groupBy("view", "shard", "position").agg(F.max(F.when(F.col("seq") > F.col("position"), F.col("seq"))).alias("top"))
+    next_ = (F.col("shard") == F.col("_shard")) & (F.col("seq") > F.col("position")) & (F.col("seq") <= F.col("position") + batch)
+    ahead = cursors.join(deltas.select(F.col("shard").alias("_shard"), "seq"), next_, "left")
+    per_shard = ahead.groupBy("view", "shard", "position").agg(F.max("seq").alias("top"))
     return per_shard.groupBy("view").agg(F.min(F.coalesce("top", "position")).alias("position"))
 
 

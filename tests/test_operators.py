@@ -108,6 +108,73 @@ def test_as_of_reads(spark):
     assert pick(got, "probe", "version") == [(0, None), (1, 1), (2, 1), (3, 2), (4, None), (5, None), (9, None)]
 
 
+def test_as_of_reads_take_the_last_appended(spark):
+    chain = spark.createDataFrame([(1, 1, 500, False, 10), (1, 2, 100, False, 11), (1, 3, 900, True, 12)], "key long, version long, at_ms long, deleted boolean, seq long")
+    probes = spark.createDataFrame([(i, 1, t) for i, t in enumerate((99, 100, 600, 900))], "probe long, key long, at_ms long")
+    assert pick(joins.version_at_time(probes, chain), "probe", "version") == [(0, None), (1, 2), (2, 2), (3, None)]
+
+
+def test_long_locks(spark):
+    rows = [(0, "a", True, 1, 0, 1 << 40, 0), (0, "b", True, 2, (1 << 40) - 1, 1, 0), (0, "c", False, 3, 1 << 40, 7, 0), (0, "d", True, 4, 5, 0, 0), (0, "e", True, 5, (1 << 61), 1 << 60, 0)]
+    locks = spark.createDataFrame(rows, LOCK)
+    got = {(r.request, r.holder) for r in joins.lock_conflicts(locks, locks, 100, 1000).collect()}
+    assert got == {(1, 2), (2, 1), (1, 4), (4, 1), (2, 4), (4, 2), (3, 4), (4, 3), (4, 5), (5, 4)}
+
+
+def test_chunks_without_peers_are_lost(spark):
+    placement = spark.createDataFrame([(1, [1, 2]), (2, []), (3, [3])], "chunk long, peers array<long>")
+    presence = spark.createDataFrame([(1, 1), (1, 2)], "chunk long, peer long")
+    assert pick(joins.replica_health(placement, presence, 2, 1), "chunk", "width", "verdict") == [(1, 2, "Healthy"), (2, 0, "Lost"), (3, 1, "Lost")]
+
+
+def test_rebalancing_moves_whole_chunks_one_to_one(spark):
+    rows = [(0, 1, 1000, 950, [11, 12, 13, 14, 15]), (0, 2, 1000, 900, []), (0, 3, 1000, 800, [31, 32, 33, 34]), (0, 4, 1000, 100, []), (0, 5, 1000, 600, [51]), (1, 6, 10, 10, [61]), (1, 7, 0, 0, [])]
+    devices = spark.createDataFrame(rows, "pool long, device long, capacity long, used long, chunks array<long>")
+    got = sorted(tuple(r) for r in placement.rebalance_plan(devices, 60).collect())
+    # 350 over 190 a chunk: two; 200 over 200 a chunk: one; a target without room ends its source's turn.
+    assert got == [(0, 1, 4, [11, 12], 380), (0, 3, 5, [31], 200)]
+
+
+def test_opt_out_goes_one_way(spark):
+    states = ("enabled", "draining", "disabled")
+    rows = spark.createDataFrame([(a, b, x) for a in states for b in states for x in (False, True)], "a string, b string, x boolean")
+    allowed = {tuple(r)[:3] for r in rows.withColumn("ok", policy.opt_out_transition(F.col("a"), F.col("b"), F.col("x"))).filter("ok").collect()}
+    assert allowed == {("enabled", "draining", False), ("enabled", "draining", True), ("draining", "disabled", False), ("draining", "disabled", True), ("enabled", "disabled", True)}
+
+
+def test_unknown_names_filter_nothing(spark):
+    e = spark.createDataFrame([(1, 10, "error", "node"), (2, 10, "info", "raft"), (3, 10, "info", "other")], "id long, at_ms long, severity string, category string")
+    ids = lambda *x: [r.id for r in predicates.event_api(e, 10, 1, *x).collect()]
+    assert [ids("error"), ids(None, "raft"), ids("loud", "other"), ids("info", "node")] == [[1], [2], [3, 2, 1], []]
+
+
+def test_objects_are_bytes(spark):
+    body = "aü😀" * 5
+    o = spark.createDataFrame([(1, 0, body), (1, 1, ""), (1, 2, "xy"), (2, 0, "")], "id long, pos long, body string")
+    whole = (body + "xy").encode()
+    for at, n in ((0, 3), (33, 4), (36, 10), (40, 5), (2, 100)):
+        got = {r.id: (bytes(r.data), r.eof, r.size) for r in chunks.object_read(o, at, n).collect()}
+        assert got == {1: (whole[at : at + n], at + n >= len(whole), len(whole)), 2: (b"", True, 0)}
+    pieces = chunks.object_write_split(spark.createDataFrame([(1, body), (2, "")], "id long, body string"), 4).collect()
+    assert [r["size"] for r in sorted(pieces, key=lambda r: (r.id, r.pos))] == [4] * 8 + [3, 0]
+    ranges = spark.createDataFrame([("bytes=99999999999999999999-",), (" bytes=1-2 ",)], "s string")
+    assert [tuple(r) for r in ranges.select(*(c.alias(k) for k, c in chunks.http_range(F.col("s"), F.lit(10).cast("long")).items())).collect()] == [("malformed", None, None), ("ok", 1, 2)]
+
+
+def test_inline_keys_mix_all_eight_bytes(spark):
+    key, seq = bytes(range(32)), 0x0102030405060708
+    row = spark.range(1).select(scalar.inline_key(F.lit(key.hex()), F.lit(seq)).alias("k")).first()
+    assert row.k == (key[:24] + bytes(a ^ b for a, b in zip(key[24:], seq.to_bytes(8, "little"), strict=True))).hex()
+
+
+def test_whole_number_rules_on_large_sizes(spark):
+    tb = 1 << 50
+    one = spark.range(1).select(aggregates.pool_state(F.lit(95 * tb), F.lit(100 * tb)).alias("a"), aggregates.pool_state(F.lit(95 * tb - 1), F.lit(100 * tb)).alias("b"), aggregates.pool_state(F.lit(5), F.lit(0)).alias("c")).first()
+    assert tuple(one) == ("readonly", "critical", "ok")
+    soft = spark.range(1).select(*aggregates.metadata_budget(F.lit((1 << 60) + 99), F.lit(7), 60, 80)).first()
+    assert tuple(soft) == (((1 << 60) + 99) * 60 // 100, ((1 << 60) + 99) * 80 // 100, ((1 << 60) + 99) * 60 // 100 - 7)
+
+
 def test_refcounts(spark):
     c = spark.createDataFrame([("a", 1, 1), ("a", 2, -1), ("a", 3, -1), ("a", 4, 1)], "chunk string, at long, delta long")
     assert pick(aggregates.refcount_history(c), "at", "count", "tombstoned") == [(1, 1, False), (2, 0, True), (3, 0, True), (4, 1, False)]
@@ -122,7 +189,7 @@ def test_metrics_text(spark):
     text = 'raft 42\n# c\n\nbytes 7\nreq{a="1"} 3\nreq{a="2"} 4\nraft 43\nbad x\n'
     t = spark.createDataFrame([(1, text), (2, "")], "node long, text string")
     got = {tuple(r) for r in aggregates.metrics_text_scan(t, {"raft": "raft", "bytes": "bytes"}, {"req": "req"}).collect()}
-    assert got == {(1, 43, 7, 7)}
+    assert got == {(1, 43, 7, 7), (2, 0, 0, 0)}
 
 
 def test_sequential_runs_and_batches(spark):
@@ -248,6 +315,10 @@ def test_poll_takes_the_smallest_position(spark):
     assert view.view_poll(d, cursor(4500)).first().position == 5000
     both = cursor(4990).unionByName(spark.createDataFrame([("v", 1, 7)], "view string, shard long, position long"))
     assert view.view_poll(d, both).first().position == 7
+    # A shard whose next delta lies beyond the batch holds the view too.
+    far = deltas(spark, [(5000, 0, "Update")]).unionByName(spark.createDataFrame([(s, 1, 0, "Update", False, 0, 5) for s in range(6, 21)], DELTA))
+    cursors = spark.createDataFrame([("v", 0, 4), ("v", 1, 5)], "view string, shard long, position long")
+    assert view.view_poll(far, cursors).first().position == 4
 
 
 def test_live_token_bucket_matches_batch(spark, tmp_path):

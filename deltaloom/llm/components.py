@@ -48,7 +48,7 @@ def _contract(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
             return down.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state, k = now, k + 1
         both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = scratch.write(_large_star(both).filter("a <> b").distinct(), f"{label}{k}l")
+        large = _large_star(both).filter("a <> b").distinct()  # both uses of it read one exchange
         nxt = scratch.write(_small_star(large).filter("a <> b").distinct(), f"{label}{k}")
-        scratch.drop(f"{label}{k - 1}", f"{label}{k}l")
+        scratch.drop(f"{label}{k - 1}")
         down = nxt

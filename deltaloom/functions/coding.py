@@ -7,6 +7,7 @@ parity rows are a Cauchy matrix, so any ``data`` of the fragments suffice.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,26 +36,36 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return _EXP[255 - _LOG[a]]
 
 
+_PRODUCT = multiply(np.arange(256)[:, None], np.arange(256)[None, :])
+
+
 def _matmul(m: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.zeros((m.shape[0], x.shape[1]), np.uint8)
-    for k in range(m.shape[1]):
-        out ^= multiply(m[:, k : k + 1], x[k][None, :])
+    for i, row in enumerate(m):
+        for c, values in zip(row, x, strict=True):
+            if c == 1:
+                out[i] ^= values
+            elif c:
+                out[i] ^= _PRODUCT[c][values]
     return out
 
 
+@lru_cache
 def generator(data: int, parity: int) -> np.ndarray:
     cauchy = _inverse((np.arange(data, data + parity)[:, None] ^ np.arange(data)[None, :]).astype(np.uint8))
     return np.concatenate([np.eye(data, dtype=np.uint8), cauchy])
 
 
-def _solve(m: np.ndarray, x: np.ndarray) -> np.ndarray:
-    m, x = m.copy(), x.copy()
-    for i in range(len(m)):
+@lru_cache(1024)
+def _back(data: int, parity: int, have: tuple[int, ...]) -> np.ndarray:
+    """The matrix that gives the data rows from the fragments ``have``; one per pattern of losses."""
+    m, x = generator(data, parity)[list(have)].copy(), np.eye(data, dtype=np.uint8)
+    for i in range(data):
         pivot = i + int(np.flatnonzero(m[i:, i])[0])
         m[[i, pivot]], x[[i, pivot]] = m[[pivot, i]], x[[pivot, i]]
         f = _inverse(m[i, i])
         m[i], x[i] = multiply(m[i], f), multiply(x[i], f)
-        for j in range(len(m)):
+        for j in range(data):
             if j != i and m[j, i]:
                 c = m[j, i]
                 m[j] ^= multiply(m[i], c)
@@ -67,18 +78,22 @@ def encode(payload: bytes, data: int, parity: int) -> list[bytes]:
     if not size:
         return [b""] * (data + parity)
     rows = np.frombuffer(payload.ljust(size * data, b"\0"), np.uint8).reshape(data, size)
-    return [r.tobytes() for r in _matmul(generator(data, parity), rows)]
+    return [r.tobytes() for r in (*rows, *_matmul(generator(data, parity)[data:], rows))]
 
 
 def decode(fragments: list[bytes | None], data: int, parity: int, length: int) -> bytes | None:
-    """The payload from any ``data`` fragments; null if fewer are left."""
-    have = [i for i, f in enumerate(fragments) if f is not None][:data]
+    """The payload from any ``data`` fragments; null if fewer are left.  Only lost data rows are computed."""
+    have = tuple(i for i, f in enumerate(fragments) if f is not None)[:data]
     if len(have) < data:
         return None
     if not length:
         return b""
-    rows = np.stack([np.frombuffer(fragments[i], np.uint8) for i in have])
-    return _solve(generator(data, parity)[have], rows).tobytes()[:length]
+    lost = [i for i in range(data) if i not in have]
+    if lost:
+        rows = np.stack([np.frombuffer(fragments[i], np.uint8) for i in have])
+        found = dict(zip(lost, _matmul(_back(data, parity, have)[lost], rows), strict=True))
+        fragments = [found[i].tobytes() if i in found else fragments[i] for i in range(data)]
+    return b"".join(bytes(f) for f in fragments[:data])[:length]
 
 
 def ec_encode(data: int, parity: int):
@@ -98,14 +113,16 @@ def ec_decode(data: int, parity: int):
 
 
 def compress_pad(multiple: int):
-    """Deflated, with its length in front, padded to a multiple."""
+    """Raw deflate, padded with zeros to a multiple; the stream tells its own end."""
+    if multiple < 1:
+        raise ValueError("the padding must be positive")
 
     @F.pandas_udf(T.BinaryType())
     def f(payloads: pd.Series) -> pd.Series:
         out = []
         for p in payloads:
-            z = zlib.compress(bytes(p))
-            z = len(z).to_bytes(4, "big") + z
+            packer = zlib.compressobj(wbits=-15)
+            z = packer.compress(bytes(p)) + packer.flush()
             out.append(z.ljust(-(-len(z) // multiple) * multiple, b"\0"))
         return pd.Series(out)
 
@@ -119,9 +136,7 @@ def unpad_decompress(limit: int):
     def f(payloads: pd.Series) -> pd.Series:
         out = []
         for p in payloads:
-            n = int.from_bytes(p[:4], "big")
-            z = zlib.decompressobj()
-            body = z.decompress(bytes(p[4 : 4 + n]), limit + 1)
+            body = zlib.decompressobj(wbits=-15).decompress(bytes(p), limit + 1)
             out.append(body if len(body) <= limit else None)
         return pd.Series(out)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,43 +25,80 @@ def rendezvous_topk(chunks: DataFrame, nodes: list[int], k: int) -> DataFrame:
     return chunks.select("chunk", F.posexplode(top).alias("rank", "s")).select("chunk", F.col("rank").cast("long").alias("rank"), (-F.col("s.neg")).alias("node"))
 
 
-def _fnv1a(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+#: The start and the factor of the hash, and the factor of the placement seed.
+FNV_START = 0xCBF29CE484222325
+FNV_FACTOR = 0x100000001B3
+SEED_FACTOR = 2_654_435_761
 
 
-def crush_assign(chunks: DataFrame, devices: list[int], data: int, parity: int) -> DataFrame:
-    """A device per fragment, the highest FNV-1a score among those the chunk has not used."""
+def _absorb(state: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """FNV-1a over the last axis of ``data``, on from ``state``."""
+    for k in range(data.shape[-1]):
+        state = (state ^ data[..., k].astype(np.uint64)) * np.uint64(FNV_FACTOR)
+    return state
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for chunk in batch["chunk"]:
-                left = list(devices)
-                for f in range(min(data + parity, len(devices))):
-                    best = max(left, key=lambda dev: (_fnv1a(f"{chunk}/{f}/{dev}"), -dev))
-                    left.remove(best)
-                    rows.append((chunk, f, best, f >= data))
-            yield pd.DataFrame(rows, columns=["chunk", "fragment", "device", "parity"])
 
-    return chunks.select("chunk").mapInPandas(run, "chunk long, fragment long, device long, parity boolean")
+def _id_bytes(ids: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes.fromhex(x) for x in ids.to_pylist()), np.uint8).reshape(len(ids), -1)
+
+
+def crush_assign(chunks: DataFrame, devices: list[bytes], data: int, parity: int) -> DataFrame:
+    """A device (its place in the list) per fragment: the highest score among those the chunk has not used, the first of equal ones.
+
+    A score is the hash of the chunk's id (``chunk_id``, hex), the fragment's
+    number and the device's id, batch by batch in arrays.
+    """
+    total = data + parity
+    if len(devices) < total:
+        raise ValueError(f"{total} devices are needed, {len(devices)} are there")
+    known = np.frombuffer(b"".join(devices), np.uint8).reshape(len(devices), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            start = _absorb(np.full(n, FNV_START, np.uint64), _id_bytes(batch.column(1))) if n else np.zeros(0, np.uint64)
+            used, picked = np.zeros((n, len(devices)), bool), np.zeros((n, total), np.int64)
+            for f in range(total):
+                number = np.frombuffer(f.to_bytes(4, "little"), np.uint8)
+                own = _absorb(start, np.broadcast_to(number, (n, 4)))
+                score = _absorb(np.repeat(own[:, None], len(devices), axis=1), np.broadcast_to(known, (n, *known.shape)))
+                score = np.where(used, np.uint64(0), score)
+                best = score.argmax(axis=1)
+                stuck = used[np.arange(n), best]  # only if every open score is zero
+                best = np.where(stuck, (~used).argmax(axis=1), best)
+                used[np.arange(n), best] = True
+                picked[:, f] = best
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(n), total))), pa.array(np.tile(np.arange(total), n)), pa.array(picked.ravel()), pa.array(np.tile(np.arange(total) >= data, n))], names=["chunk", "fragment", "device", "parity"]
+            )
+
+    return chunks.select("chunk", "chunk_id").mapInArrow(run, "chunk long, fragment long, device long, parity boolean")
 
 
 def place_fragments(chunks: DataFrame, online: list[int], n: int) -> DataFrame:
-    """Fragment i goes to place (seed * 2654435761 + i) mod what is left, which is then taken out; none if too few are online."""
+    """Fragment i goes to place (seed * factor + i) mod what is left, which is then taken out; none if too few are online.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The seed is the first eight bytes of the chunk's id (``chunk_id``, hex),
+    least first; sums wrap at 64 bits.
+    """
+    schema = "chunk long, fragment long, device long"
+    if not 0 < n <= len(online):
+        return chunks.select("chunk", F.lit(0).cast("long").alias("fragment"), F.lit(0).cast("long").alias("device")).limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for chunk in batch["chunk"]:
-                left = list(online)
-                for i in range(n if len(online) >= n else 0):
-                    rows.append((chunk, i, left.pop((chunk * 2654435761 + i) % len(left))))
-            yield pd.DataFrame(rows, columns=["chunk", "fragment", "device"])
+            rows = np.arange(batch.num_rows)
+            seed = np.ascontiguousarray(_id_bytes(batch.column(1))[:, :8]).view("<u8").ravel() if len(rows) else np.zeros(0, np.uint64)
+            left, picked = np.tile(np.array(online, np.int64), (len(rows), 1)), np.zeros((len(rows), n), np.int64)
+            for i in range(n):
+                at = ((seed * np.uint64(SEED_FACTOR) + np.uint64(i)) % np.uint64(left.shape[1])).astype(np.int64)
+                picked[:, i] = left[rows, at]
+                keep = np.ones(left.shape, bool)
+                keep[rows, at] = False
+                left = left[keep].reshape(len(rows), left.shape[1] - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(rows, n))), pa.array(np.tile(np.arange(n), len(rows))), pa.array(picked.ravel())], names=["chunk", "fragment", "device"])
 
-    return chunks.select("chunk").mapInPandas(run, "chunk long, fragment long, device long")
+    return chunks.select("chunk", "chunk_id").mapInArrow(run, schema)
 
 
 def match_flavor(requests: DataFrame, offers: DataFrame) -> DataFrame:
@@ -150,6 +189,24 @@ def midpoint(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([middle(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
+def ratio_floor_split(spark, shards: DataFrame, nodes: int, ratio: float, cap: int = 64) -> DataFrame:
+    """The topology (shard, range_start, range_end, leader) after splits of the widest range at its middle, until there are ``ratio`` shards a node.
+
+    Widths compare by their first eight bytes, the last of equal ones counts; new
+    shards get the next numbers, and leaders in turn.  At most ``cap`` shards.
+    """
+    rows = sorted((int(r["range_start"], 16), int(r["range_end"], 16), r["shard"], r["leader"]) for r in shards.limit(small.MOST).collect())
+    target = min(-(-int(ratio * nodes * 1000) // 1000), cap) if nodes > 0 and len(rows) < ratio * nodes else len(rows)
+    fresh = max((r[2] for r in rows), default=-1) + 1
+    while rows and len(rows) < target:
+        k = max(range(len(rows)), key=lambda i: ((rows[i][1] >> 192) - (rows[i][0] >> 192), i))
+        lo, hi, shard, leader = rows.pop(k)
+        mid = (lo + hi) // 2
+        rows = sorted([*rows, (lo, mid, shard, leader), (mid, hi, fresh, len(rows) % nodes)])
+        fresh += 1
+    return spark.createDataFrame([(s, format(a, "064x"), format(b, "064x"), n) for a, b, s, n in rows], "shard long, range_start string, range_end string, leader long")
+
+
 def check_split(count: Column, size: Column, max_count: int, max_bytes: int) -> Column:
     """Why a shard must split, count first; null if it need not."""
     return F.when(count >= max_count, "count").when(size >= max_bytes, "bytes")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
+#: The largest logical part of a clock (32 bits), and the largest physical one that a long holds.
+LOGICAL_TOP = (1 << 32) - 1
+PHYSICAL_TOP = (1 << 63) - 1
+
 
 def sequential_reads(reads: DataFrame, suggest_after: int = 3, ahead: int = 262_144) -> DataFrame:
     """Length of the sequential run at each read (file, at, off, len) and, from the third on, the prefetch offset."""
@@ -52,10 +58,15 @@ TRANSITIONS = (("Online", "Draining"), ("Online", "Offline"), ("Offline", "Onlin
 
 def device_transitions(states: DataFrame) -> DataFrame:
     """Every change of state (device, at, state) with whether it is allowed."""
-    prev = F.lag("state").over(Window.partitionBy("device").orderBy("at"))
-    pairs = [F.concat_ws(">", F.lit(a), F.lit(b)) for a, b in TRANSITIONS]
-    moved = states.withColumn("before", prev).filter("before <> state")
-    return moved.withColumn("allowed", F.concat_ws(">", "before", "state").isin(*pairs))
+
+    def step(held: dict, row: dict) -> list[tuple]:
+        before, after = held.get("state"), row["state"]
+        allowed = before is None or (before, after) in TRANSITIONS
+        if allowed:
+            held["state"] = after
+        return [] if before is None else [(row["at"], after, before, allowed)]
+
+    return fold(states.select("device", "at", "state"), ["device"], ["at"], "at long, state string, before string, allowed boolean", dict, step)
 
 
 def survivors(entries: DataFrame, budget: int) -> DataFrame:
@@ -90,46 +101,82 @@ def extent_coalesce(extents: DataFrame) -> DataFrame:
 
 def latency_ema(samples: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """Exponential mean 0.2 x + 0.8 prev, cut to whole units at every step; the first sample starts it."""
-    ordered = F.sort_array(F.collect_list(F.struct(at, value)))
-    values = F.transform("_o", lambda s: s[value].cast("long"))
-    step = lambda acc, x: F.when(acc.isNull(), x).otherwise(F.floor((x + acc * 4) / 5))
-    return samples.groupBy(by).agg(ordered.alias("_o")).select(by, F.aggregate(values, F.lit(None).cast("long"), step).alias("ema"))
 
+    def step(mean: list[int], row: dict) -> tuple:
+        x = int(row[value])
+        mean[:] = [(x + mean[0] * 4) // 5 if mean else x]
+        return ()
+
+    return fold(samples.select(by, at, value), [by], [at, value], "ema long", list, step, lambda mean: [(mean[0],)])
+
+
+def write_batches(writes: DataFrame, by: str, at: str, size: str, limit: int, delay: int | None = None) -> DataFrame:
+    """Batches in order of arrival, closed once they reach ``limit`` bytes.
+
+    With a ``delay`` (in units of ``at``) a batch is also closed before a write
+    that comes so long after its first.  Writes of zero bytes open a batch too.
+    """
+
+    class Open:
+        first, bytes, batches = None, 0, 0
+
+        def flush(self) -> tuple:
+            done = (self.batches, self.bytes)
+            self.first, self.bytes, self.batches = None, 0, self.batches + 1
+            return done
+
+    def step(o: Open, row: dict) -> list[tuple]:
+        out = [o.flush()] if o.first is not None and delay is not None and row[at] - o.first >= delay else []
+        o.first, o.bytes = row[at] if o.first is None else o.first, o.bytes + row[size]
+        return [*out, o.flush()] if o.bytes >= limit else out
 
-def write_batches(writes: DataFrame, by: str, at: str, size: str, limit: int) -> DataFrame:
-    """Batches in order of arrival, closed once they reach ``limit`` bytes."""
-    ordered = F.sort_array(F.collect_list(F.struct(at, size)))
-    start = F.struct(F.lit(0).cast("long").alias("open"), F.array().cast("array<bigint>").alias("done"))
+    return fold(writes.select(by, at, size), [by], [at, size], "batch long, bytes long", Open, step, lambda o: [] if o.first is None else [o.flush()])
 
-    def step(acc: Column, x: Column) -> Column:
-        grown = acc["open"] + x[size]
-        full = grown >= limit
-        return F.struct(F.when(full, F.lit(0)).otherwise(grown).cast("long").alias("open"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"))
 
-    last = lambda acc: F.when(acc["open"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-    return writes.groupBy(by).agg(ordered.alias("_o")).select(by, F.posexplode(F.aggregate("_o", start, step, last)).alias("batch", "bytes"))
+def workflow_slots(changes: DataFrame, most: int) -> DataFrame:
+    """Declarations and releases (owner, at, declares) under a cap: what is admitted and how many are active after it.
+
+    A declaration beyond the cap is refused; a release with none active changes nothing.
+    """
+
+    def step(held: list[int], row: dict) -> list[tuple]:
+        n = held[0]
+        admitted = n < most if row["declares"] else n > 0
+        held[0] = n + (1 if row["declares"] else -1) * admitted
+        return [(row["at"], row["declares"], admitted, held[0])]
+
+    return fold(changes.select("owner", "at", "declares"), ["owner"], ["at"], "at long, declares boolean, admitted boolean, active long", lambda: [0], step)
 
 
 def hlc_tick(events: DataFrame) -> DataFrame:
     """Strictly rising hybrid clock per node over local events (node, at, physical).
 
     The clock never falls behind the largest physical time seen; while that
-    stands still, the logical part counts.
+    stands still, the logical part counts.  One top time with 2**32 events on a
+    node carries into the physical part.
     """
     order = Window.partitionBy("node").orderBy("at")
     top = F.max("physical").over(order.rowsBetween(Window.unboundedPreceding, 0))
     with_top = events.withColumn("top", top)
     logical = F.row_number().over(Window.partitionBy("node", "top").orderBy("at")) - 1
-    return with_top.select("node", "at", F.col("top").alias("physical"), logical.cast("long").alias("logical"))
+    logical = logical.cast("long")
+    carried = F.shiftright(logical, 32)
+    return with_top.select("node", "at", (F.col("top") + carried).alias("physical"), logical.bitwiseAND(F.lit(LOGICAL_TOP)).alias("logical"))
+
+
+def hlc_next(physical: Column, logical: Column) -> Column:
+    """The next clock: a full logical part carries into the physical one; null if that is full too."""
+    carries = logical >= LOGICAL_TOP
+    step = F.struct(F.when(carries, physical + 1).otherwise(physical).alias("physical"), F.when(carries, 0).otherwise(logical + 1).cast("long").alias("logical"))
+    return F.when(~(carries & (physical >= PHYSICAL_TOP)), step)
 
 
 def hlc_merge(local: Column, remote: Column, now: Column) -> Column:
-    """Clock after a message: all three physical times compete, the logical part follows the winner."""
+    """Clock after a message: all three physical times compete, the logical part follows the winner; null when exhausted."""
     top = F.greatest(local["physical"], remote["physical"], now)
-    logical = (
-        F.when((top == local["physical"]) & (top == remote["physical"]), F.greatest(local["logical"], remote["logical"]) + 1)
-        .when(top == local["physical"], local["logical"] + 1)
-        .when(top == remote["physical"], remote["logical"] + 1)
-        .otherwise(F.lit(0))
+    base = (
+        F.when((top == local["physical"]) & (top == remote["physical"]), F.greatest(local["logical"], remote["logical"]))
+        .when(top == local["physical"], local["logical"])
+        .when(top == remote["physical"], remote["logical"])
     )
-    return F.struct(top.alias("physical"), logical.cast("long").alias("logical"))
+    return F.when(base.isNull(), F.struct(top.alias("physical"), F.lit(0).cast("long").alias("logical"))).otherwise(hlc_next(top, base))

@@ -19,14 +19,50 @@ def rendezvous_topk(spark, d):
     return p.rendezvous_topk(_chunks(spark, d), list(range(1, 8)), 3)
 
 
-@query()
+_DEVICES = [bytes([17 * i % 251]) * 16 for i in range(1, 10)]
+_MIX = f"lambda h, b: (xor(h, b) * {p.FNV_FACTOR}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+_BYTES = "list_transform(range(32), lambda i: ('0x' || substr(chunk_id, 2 * i::INT + 1, 2))::UHUGEINT)"
+
+
+def _crush_sql(total: int, data: int) -> str:
+    """Fragment after fragment takes the best of the devices that the ones before have left."""
+    devices = ", ".join(f"({i}, {x[0]})" for i, x in enumerate(_DEVICES))
+    steps = ["p0 AS (SELECT DISTINCT chunk, []::BIGINT[] AS used FROM s)"]
+    for f in range(total):
+        steps.append(f"p{f + 1} AS (SELECT p.chunk, list_append(any_value(used), arg_max(dev, (score, -dev))) AS used FROM p{f} p JOIN s ON s.chunk = p.chunk AND s.f = {f} AND NOT list_contains(used, dev) GROUP BY p.chunk)")
+    return f"""
+, dv(dev, b) AS (VALUES {devices}), h AS (SELECT ref AS chunk, list_reduce(list_concat([{p.FNV_START}::UHUGEINT], {_BYTES}), {_MIX}) AS h FROM chunk_refs),
+g AS (SELECT chunk, f, list_reduce([h, f::UHUGEINT, 0::UHUGEINT, 0::UHUGEINT, 0::UHUGEINT], {_MIX}) AS h FROM h, range({total}) r(f)),
+s AS (SELECT chunk, f, dev::BIGINT AS dev, list_reduce(list_concat([h], list_transform(range(16), lambda i: b::UHUGEINT)), {_MIX}) AS score FROM g, dv),
+{", ".join(steps)}
+SELECT chunk, unnest(range({total})) AS fragment, unnest(used) AS device, unnest(list_transform(range({total}), lambda i: i >= {data})) AS parity FROM p{total}
+"""
+
+
+def _place_sql(online: int, n: int) -> str:
+    steps = [f"p0 AS (SELECT chunk, seed, list_transform(range(1, {online + 1}), lambda i: i::BIGINT) AS rest, []::BIGINT[] AS took FROM s)"]
+    for i in range(n):
+        at = f"((seed * {p.SEED_FACTOR}::UHUGEINT + {i}) % 18446744073709551616::UHUGEINT % {online - i}::UHUGEINT)::BIGINT"
+        steps.append(f"p{i + 1} AS (SELECT chunk, seed, list_concat(list_slice(rest, 1, {at}), list_slice(rest, {at} + 2, {online})) AS rest, list_append(took, rest[{at} + 1]) AS took FROM p{i})")
+    return f"""
+, s AS (SELECT ref AS chunk, list_reduce(list_transform(range(8), lambda i: ('0x' || substr(chunk_id, 15 - 2 * i::INT, 2))::UHUGEINT), lambda a, b: a * 256::UHUGEINT + b) AS seed FROM chunk_refs),
+{", ".join(steps)}
+SELECT chunk, unnest(range({n})) AS fragment, unnest(took) AS device FROM p{n}
+"""
+
+
+def _hashed(spark, d):
+    return model.chunk_refs(spark, d).select(F.col("ref").alias("chunk"), "chunk_id")
+
+
+@query(_crush_sql(6, 4))
 def crush_assign(spark, d):
-    return p.crush_assign(_chunks(spark, d), list(range(1, 10)), 4, 2)
+    return p.crush_assign(_hashed(spark, d), _DEVICES, 4, 2)
 
 
-@query()
+@query(_place_sql(9, 6))
 def place_fragments(spark, d):
-    return p.place_fragments(_chunks(spark, d), list(range(1, 10)), 6)
+    return p.place_fragments(_hashed(spark, d), list(range(1, 10)), 6)
 
 
 _OFFERS = [(0, "small-tcp", "tcp"), (1, "big-rdma", "rdma"), (2, "big-tcp", "tcp"), (3, "view", "ib")]
@@ -128,12 +164,26 @@ def max_concurrent_splits(spark, d):
     return model.projects(spark, d).select(F.col("project").alias("nodes"), p.max_concurrent_splits(F.col("project")).alias("splits"))
 
 
-@query()
+_DIGITS = """
+digits AS (SELECT i, 0 AS k, i AS rest, '' AS hex FROM range(12) r(i) UNION ALL SELECT i, k + 1, rest * 16 % 12, hex || substr('0123456789abcdef', (rest * 16 // 12)::INT + 1, 1) FROM digits WHERE k < 64),
+points AS (SELECT i, hex FROM digits WHERE k = 64 UNION ALL SELECT 12, repeat('f', 64))
+"""
+
+
+@query(f", {_DIGITS} SELECT a.i AS shard, a.hex AS range_start, b.hex AS range_end, a.i % 5 AS leader FROM points a JOIN points b ON b.i = a.i + 1")
 def shard_ranges(spark, d):
     return p.shard_ranges(spark, 12, 5)
 
 
-@query()
+@query(f"""
+, {_DIGITS},
+ends AS (SELECT a.i, a.hex AS lo, b.hex AS hi FROM points a JOIN points b ON b.i = a.i + 1),
+sums AS (SELECT i, lo, hi, 64 AS k, 0 AS carry, ''::VARCHAR AS hex FROM ends UNION ALL
+ SELECT i, lo, hi, k - 1, s // 16, substr('0123456789abcdef', (s % 16)::INT + 1, 1) || hex FROM (SELECT *, strpos('0123456789abcdef', substr(lo, k, 1)) + strpos('0123456789abcdef', substr(hi, k, 1)) - 2 + carry AS s FROM sums WHERE k > 0)),
+halves AS (SELECT i, lo, hi, hex AS sum, 0 AS k, carry AS rest, ''::VARCHAR AS mid FROM sums WHERE k = 0 UNION ALL
+ SELECT i, lo, hi, sum, k + 1, v % 2, mid || substr('0123456789abcdef', (v // 2)::INT + 1, 1) FROM (SELECT *, rest * 16 + strpos('0123456789abcdef', substr(sum, k + 1, 1)) - 1 AS v FROM halves WHERE k < 64))
+SELECT i AS shard, lo AS range_start, hi AS range_end, i % 5 AS leader, CASE WHEN lo < mid AND mid < hi THEN mid END AS mid FROM halves WHERE k = 64
+""")
 def midpoint(spark, d):
     return p.shard_ranges(spark, 12, 5).withColumn("mid", p.midpoint("range_start", "range_end"))
 
@@ -175,6 +225,13 @@ def merge_ratio(spark, d):
     return model.projects(spark, d).select(s.alias("shards"), n.alias("nodes"), p.merge_allowed(s, n, f).alias("allowed"), p.ratio_floor_target(s, n, f).alias("target"))
 
 
+@query()
+def ratio_floor_split(spark, d):
+    """A topology of 5 shards on 8 nodes, split at the widest until the ratio holds."""
+    shards = p.shard_ranges(spark, 5, 8)
+    return p.ratio_floor_split(spark, shards, 8, 1.5)
+
+
 @query("SELECT project AS shards, org AS nodes, CASE WHEN org > 0 AND project / org < 1.5 THEN least(CAST(ceil(1.5 * org) AS BIGINT), 64) ELSE project END AS target FROM project")
 def ratio_floor_target(spark, d):
     s, n = F.col("project"), F.col("org")

@@ -38,7 +38,7 @@ def query(sql: str | None = None, name: str | None = None):
         QUERIES[key] = f
         if sql is not None:
             # ``at`` is a column of the model and a keyword of the SQL dialect.
-            ORACLES[key] = MODEL_SQL + re.sub(r"\bat\b", '"at"', sql)
+            ORACLES[key] = MODEL_SQL.replace("WITH", "WITH RECURSIVE", 1) + re.sub(r"\bat\b", '"at"', sql)
         return f
 
     return add

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from deltaloom.functions import coding, scalar
@@ -63,7 +65,15 @@ def durability_defaults(spark, d):
     return model.projects(spark, d).select(F.col("project").alias("nodes"), *(c.alias(n) for n, c in scalar.durability_defaults(F.col("project")).items()))
 
 
-@query()
+_CRC_TABLE = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+_CHARS = "SELECT doc_id AS ref, string_split(hex(encode(coalesce(text, ''))), '') AS c, strlen(coalesce(text, '')) AS n FROM documents"
+_BYTE = "((strpos('0123456789ABCDEF', c[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', c[2 * i + 2]) - 1)::BIGINT"
+
+
+@query(f"""
+, x AS ({_CHARS}), b AS (SELECT ref, list_transform(range(n), lambda i: {_BYTE}) AS b FROM x), t AS (SELECT {_CRC_TABLE}::BIGINT[] AS t)
+SELECT ref, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda h, v: xor(h >> 8, t[(xor(h, v) & 255) + 1])), 4294967295) AS crc FROM b, t
+""")
 def crc32(spark, d):
     return _docs(spark, d).select("ref", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -110,9 +120,23 @@ def _coded(spark, d):
     return docs.withColumn("fragments", coding.ec_encode(4, 2)("payload"))
 
 
-@query()
+_PARITY = [[int(x) for x in row] for row in coding.generator(4, 2)[4:]]
+
+
+@query(f"""
+, m AS (SELECT parity, part, list_transform(range(256), lambda v: list_reduce(list_transform(range(8), lambda k: CASE WHEN (v >> k::INT) & 1 = 1 THEN powers[k + 1] ELSE 0 END), lambda x, y: xor(x, y))) AS times
+ FROM (VALUES {", ".join(f"({i}, {j}, {[int(coding.multiply(c, 1 << k)) for k in range(8)]})" for i, row in enumerate(_PARITY) for j, c in enumerate(row))}) v(parity, part, powers)),
+x AS (SELECT doc_id AS ref, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT ref, (n + 3) // 4 AS size, rpad(h, (2 * ((n + 3) // 4) * 4)::INT, '0') AS h FROM x),
+f AS (SELECT ref, part, size, substr(h, (2 * part * size + 1)::INT, (2 * size)::INT) AS h FROM p, range(4) r(part)),
+s AS (SELECT ref, part, string_split(h, '') AS c, size FROM f),
+b AS (SELECT ref, part, unnest(range(size)) AS at_, unnest(list_transform(range(size), lambda i: {_BYTE})) AS v FROM s),
+y AS (SELECT ref, 4 + parity AS part, at_, bit_xor(times[v + 1]) AS v FROM b JOIN m USING (part) GROUP BY 1, 2, 3),
+q AS (SELECT ref, part, string_agg(lpad(hex(v), 2, '0'), '' ORDER BY at_) AS h FROM y GROUP BY 1, 2)
+SELECT p.ref, k AS fragment, p.size, sha256(from_hex(CASE WHEN p.size = 0 THEN '' ELSE coalesce(f.h, q.h) END)) AS digest FROM p, range(6) r(k) LEFT JOIN f ON f.ref = p.ref AND f.part = k LEFT JOIN q ON q.ref = p.ref AND q.part = k
+""")
 def ec_encode(spark, d):
-    return _coded(spark, d).select("ref", F.posexplode("fragments").alias("fragment", "f")).select("ref", F.col("fragment").cast("long").alias("fragment"), F.octet_length("f").cast("long").alias("size"), F.crc32("f").alias("crc"))
+    return _coded(spark, d).select("ref", F.posexplode("fragments").alias("fragment", "f")).select("ref", F.col("fragment").cast("long").alias("fragment"), F.octet_length("f").cast("long").alias("size"), F.sha2("f", 256).alias("digest"))
 
 
 @query("SELECT doc_id AS ref, sha256(coalesce(text, '')) AS chunk_id, true AS whole FROM documents")

@@ -62,9 +62,13 @@ def breaker_consecutive(spark, d):
 
 
 @query("""
-, st AS (SELECT source AS device, id AS at, CASE category WHEN 'error' THEN 'Offline' WHEN 'view' THEN 'Online' WHEN 'click' THEN 'Draining' ELSE 'Decommissioned' END AS state FROM history),
-l AS (SELECT *, lag(state) OVER (PARTITION BY device ORDER BY at) AS before FROM st)
-SELECT device, at, state, before, (before || '>' || state) IN ('Online>Draining', 'Online>Offline', 'Offline>Online', 'Draining>Decommissioned') AS allowed FROM l WHERE before <> state
+, w AS (SELECT source AS device, id AS at, CASE category WHEN 'error' THEN 'Offline' WHEN 'view' THEN 'Online' WHEN 'click' THEN 'Draining' ELSE 'Decommissioned' END AS state, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM history),
+f(device, k, at, state, before, allowed, held) AS (
+ SELECT device, k, at, state, NULL::VARCHAR, true, state FROM w WHERE k = 1
+ UNION ALL
+ SELECT device, k, at, state, held, ok, CASE WHEN ok THEN state ELSE held END
+ FROM (SELECT w.*, f.held, (f.held || '>' || w.state) IN ('Online>Draining', 'Online>Offline', 'Offline>Online', 'Draining>Decommissioned') AS ok FROM f JOIN w ON w.device = f.device AND w.k = f.k + 1))
+SELECT device, at, state, before, allowed FROM f WHERE k > 1
 """)
 def device_transitions(spark, d):
     state = F.when(F.col("category") == "error", "Offline").when(F.col("category") == "view", "Online").when(F.col("category") == "click", "Draining").otherwise("Decommissioned")
@@ -112,9 +116,36 @@ def latency_ema(spark, d):
     return s.latency_ema(model.history(spark, d).withColumn("transport", F.col("source") % 5), "transport", "id", "amount")
 
 
-@query()
+@query("""
+, w AS (SELECT category, id, amount, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM history),
+f(category, k, first, bytes, batch, closed, size, closed2, size2) AS (
+ SELECT DISTINCT category, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM history
+ UNION ALL
+ SELECT category, k, CASE WHEN total >= 500 THEN NULL ELSE start END, CASE WHEN total >= 500 THEN 0 ELSE total END, batch + late::INT + (total >= 500)::INT,
+  CASE WHEN late THEN batch END, CASE WHEN late THEN bytes END, CASE WHEN total >= 500 THEN batch + late::INT END, CASE WHEN total >= 500 THEN total END
+ FROM (SELECT *, CASE WHEN late THEN amount ELSE bytes + amount END AS total, CASE WHEN late OR first IS NULL THEN id ELSE first END AS start
+  FROM (SELECT f.category, w.k, f.first, f.bytes, f.batch, w.id, w.amount, coalesce(w.id - f.first >= 40, false) AS late FROM f JOIN w ON w.category = f.category AND w.k = f.k + 1))),
+e AS (SELECT category, closed AS batch, size AS bytes FROM f WHERE closed IS NOT NULL UNION ALL SELECT category, closed2, size2 FROM f WHERE closed2 IS NOT NULL
+ UNION ALL SELECT f.category, f.batch, f.bytes FROM f JOIN (SELECT category, max(k) AS k FROM w GROUP BY 1) l ON f.category = l.category AND f.k = l.k WHERE f.first IS NOT NULL)
+SELECT category, batch, bytes FROM e
+""")
 def write_batches(spark, d):
-    return s.write_batches(model.history(spark, d), "category", "id", "amount", 500)
+    """Closed at 500 bytes, or before a write 40 ids after the first."""
+    return s.write_batches(model.history(spark, d), "category", "id", "amount", 500, 40)
+
+
+@query("""
+, w AS (SELECT source % 8 AS owner, id AS at, category <> 'error' AND amount % 2 = 0 AS declares, row_number() OVER (PARTITION BY source % 8 ORDER BY id) AS k FROM history),
+f(owner, k, at, declares, admitted, active) AS (
+ SELECT DISTINCT owner, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, NULL::BOOLEAN, 0::BIGINT FROM w
+ UNION ALL
+ SELECT w.owner, w.k, w.at, w.declares, CASE WHEN w.declares THEN f.active < 3 ELSE f.active > 0 END, CASE WHEN w.declares THEN least(f.active + 1, 3) ELSE greatest(f.active - 1, 0) END
+ FROM f JOIN w ON w.owner = f.owner AND w.k = f.k + 1)
+SELECT owner, at, declares, admitted, active FROM f WHERE k > 0
+""")
+def workflow_slots(spark, d):
+    h = model.history(spark, d)
+    return s.workflow_slots(h.select((F.col("source") % 8).alias("owner"), F.col("id").alias("at"), ((F.col("category") != "error") & (F.col("amount") % 2 == 0)).alias("declares")), 3)
 
 
 @query("""

@@ -159,3 +159,89 @@ def hydrate_outcomes(deltas: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("seq") > made, F.lit(False))
     outcome = F.when(F.col("op") == "Create", "Applied").when(known, "Applied").otherwise("PermanentSkip")
     return lives.select("seq", "key", "op", outcome.alias("outcome"))
+
+
+def hydrate_poll(deltas: DataFrame, cursors: DataFrame, polls: int, threshold: int) -> DataFrame:
+    """What becomes of every delta (shard, seq, op, key, ns) after ``polls`` polls from a shard's cursor (shard, position).
+
+    Deltas are applied in order.  A Create needs its namespace registered
+    earlier, unless its object lives already; an Update needs a live object;
+    anything else is applied.  What is not met is transient: the poll stops
+    there and the next one tries again, until the ``threshold``-th try, which
+    skips it for good and goes on in the same poll.  A shard whose first delta
+    is not the one after its cursor is halted.
+
+    Outcomes: Applied, PermanentSkip, TransientSkip (the poll stands there, with
+    its ``tries``), Pending (not reached), Halted.  No state is carried from
+    delta to delta: the k-th transient delta of a shard is passed in poll
+    k (threshold - 1) + 1.
+    """
+    new = deltas.join(cursors.select("shard", "position"), "shard").filter("seq > position")
+    spaces = deltas.filter("op = 'NamespaceCreate'").groupBy(F.col("shard").alias("_s"), F.col("ns").alias("_ns")).agg(F.min("seq").alias("_registered"))
+    known = deltas.join(spaces, (F.col("shard") == F.col("_s")) & (F.col("ns") == F.col("_ns")), "left").drop("_s", "_ns")
+    order = Window.partitionBy("shard", "key").orderBy("seq")
+    lives = known.withColumn("_life", F.count_if(F.col("op") == "Delete").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    made = F.min(F.when((F.col("op") == "Create") & (F.col("_registered") < F.col("seq")), F.col("seq"))).over(Window.partitionBy("shard", "key", "_life"))
+    alive = F.coalesce(F.col("_made") < F.col("seq"), F.lit(False))
+    reason = F.when((F.col("op") == "Create") & ~alive & ~F.coalesce(F.col("_registered") < F.col("seq"), F.lit(False)), "namespace_not_registered").when((F.col("op") == "Update") & ~alive, "update_before_create")
+    judged = lives.withColumn("_made", made).withColumn("reason", reason).select("shard", "seq", "op", "key", "reason")
+    judged = judged.join(new.select("shard", "seq", "position"), ["shard", "seq"])
+    # Only the transient deltas of a shard are numbered.
+    passed = (polls - 1) // (threshold - 1) if threshold > 1 else None
+    tries = polls - passed * (threshold - 1) if passed is not None else 0
+    first = judged.groupBy("shard").agg(F.min("seq").alias("_first"), F.min("position").alias("_from"))
+    halted = first.select(F.col("shard").alias("_s"), (F.col("_first") > F.col("_from") + 1).alias("_halted"))
+    if passed is None or polls < 1:
+        stops = judged.select(F.col("shard").alias("_t"), F.lit(None if polls > 0 else -1).cast("long").alias("_stop")).distinct()
+    else:
+        number = F.row_number().over(Window.partitionBy("shard").orderBy("seq"))
+        stuck = judged.filter("reason IS NOT NULL").withColumn("_k", number).filter(F.col("_k") == passed + 1)
+        stops = stuck.select(F.col("shard").alias("_t"), F.col("seq").alias("_stop"))
+    placed = judged.join(halted, F.col("shard") == F.col("_s")).join(stops, F.col("shard") == F.col("_t"), "left")
+    outcome = (
+        F.when(F.col("_halted"), "Halted").when(F.col("seq") > F.col("_stop"), "Pending").when(F.col("seq") == F.col("_stop"), "TransientSkip").when(F.col("reason").isNotNull(), "PermanentSkip").otherwise("Applied")
+    )
+    done = placed.withColumn("outcome", outcome)
+    why = F.when(F.col("outcome") == "TransientSkip", F.col("reason")).when(F.col("outcome") == "PermanentSkip", F.lit("exhausted_retries"))
+    return done.select("shard", "seq", "op", "key", "outcome", why.alias("reason"), F.when(F.col("outcome") == "TransientSkip", F.lit(tries)).cast("long").alias("tries"))
+
+
+def hydrate_cursor(outcomes: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Per shard where the next poll begins, where it is stuck and how often it tried, and whether it is halted; from :func:`hydrate_poll`."""
+    done = outcomes.groupBy("shard").agg(
+        F.max(F.when(F.col("outcome").isin("Applied", "PermanentSkip"), F.col("seq"))).alias("_top"), F.max(F.when(F.col("outcome") == "TransientSkip", F.col("seq"))).alias("stuck_at"),
+        F.max("tries").alias("tries"), F.bool_or(F.col("outcome") == "Halted").alias("halted"),
+    )
+    return cursors.join(done, "shard", "left").select("shard", F.coalesce("_top", "position").alias("position"), "stuck_at", "tries", F.coalesce("halted", F.lit(False)).alias("halted"))
+
+
+def names_index(outcomes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Names (ns, name) and the object each stands for after the applied deltas.
+
+    An applied Create binds its name, again if the object lives already; the
+    Delete of the object that a name stands for unbinds it.
+    """
+    applied = deltas.join(outcomes.filter("outcome = 'Applied'").select("shard", "seq"), ["shard", "seq"])
+    bound = applied.filter("op = 'Create' AND name IS NOT NULL").groupBy("shard", "ns", "name").agg(F.max(F.struct("seq", "key")).alias("b"))
+    gone = applied.filter("op = 'Delete'").groupBy(F.col("shard").alias("_s"), F.col("key").alias("_k")).agg(F.max("seq").alias("_gone"))
+    held = bound.join(gone, (F.col("shard") == F.col("_s")) & (F.col("b.key") == F.col("_k")), "left").filter(F.col("_gone").isNull() | (F.col("_gone") < F.col("b.seq")))
+    return held.select("shard", "ns", "name", F.col("b.key").alias("key"))
+
+
+def chunk_states(commands: DataFrame) -> DataFrame:
+    """State per (tenant, chunk) after commands (tenant, chunk, at, command, placement, original_len) in order of ``at``.
+
+    ``create`` makes an entry with one reference where none is, ``increment``
+    adds one and revives, ``decrement`` takes one, not below zero, and tombstones
+    at zero.  Before its creation a chunk knows neither.  The count is the walk
+    of the steps reflected at zero, so no state is carried.
+    """
+    key = ["tenant", "chunk"]
+    made = commands.filter("command = 'create'").groupBy(*key).agg(F.min(F.struct("at", "placement", "original_len")).alias("m"))
+    later = commands.filter("command <> 'create'").join(made.select(*key, F.col("m.at").alias("_made")), key).filter(F.col("at") > F.col("_made"))
+    steps = later.select(*key, "at", F.when(F.col("command") == "increment", 1).otherwise(-1).cast("long").alias("step")).unionByName(made.select(*key, F.col("m.at").alias("at"), F.lit(1).cast("long").alias("step")))
+    order = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    walk = steps.withColumn("_raw", F.sum("step").over(order))
+    walk = walk.withColumn("_n", F.col("_raw") - F.least(F.min("_raw").over(order), F.lit(0)))
+    last = walk.groupBy(*key).agg(F.max_by("_n", "at").alias("refcount"))
+    return last.join(made, key).select(*key, "refcount", (F.col("refcount") == 0).alias("tombstoned"), F.col("m.at").alias("created_at"), "m.placement", "m.original_len")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deltaloom.operators import chunks as c
@@ -194,16 +195,64 @@ def hydrate_outcomes(spark, d):
     return c.hydrate_outcomes(model.deltas(spark, d))
 
 
+_POLL = """
+, d AS (SELECT seq, shard, CASE WHEN payload_size % 13 = 0 THEN 'NamespaceCreate' ELSE op END AS op, CASE WHEN payload_size % 13 <> 0 THEN key END AS key, key % 6 AS ns, CASE WHEN key % 2 = 0 THEN 'n' || (key % 10) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n, seq AS old FROM deltas)),
+e AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n FROM d),
+g AS (SELECT shard, n AS seq, op, key, ns, name FROM e),
+sp AS (SELECT shard, ns, min(seq) AS reg FROM g WHERE op = 'NamespaceCreate' GROUP BY 1, 2),
+h AS (SELECT g.*, reg, count(*) FILTER (op = 'Delete') OVER (PARTITION BY g.shard, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM g LEFT JOIN sp ON g.shard = sp.shard AND g.ns = sp.ns),
+i AS (SELECT *, min(seq) FILTER (op = 'Create' AND reg < seq) OVER (PARTITION BY shard, key, life) AS made FROM h),
+j AS (SELECT *, CASE WHEN op = 'Create' AND NOT coalesce(made < seq, false) AND NOT coalesce(reg < seq, false) THEN 'namespace_not_registered' WHEN op = 'Update' AND NOT coalesce(made < seq, false) THEN 'update_before_create' END AS why FROM i),
+cur(shard, position) AS (VALUES (0, 0), (1, 40), (2, 0), (3, 0)),
+vis AS (SELECT j.*, position FROM j JOIN cur USING (shard) WHERE seq > position AND (shard <> 3 OR seq > 5)),
+stp AS (SELECT shard, seq AS stop FROM (SELECT shard, seq, row_number() OVER (PARTITION BY shard ORDER BY seq) AS k FROM vis WHERE why IS NOT NULL) WHERE k = 4),
+o AS (SELECT shard, seq, op, key, ns, name, CASE WHEN shard = 3 THEN 'Halted' WHEN seq > stop THEN 'Pending' WHEN seq = stop THEN 'TransientSkip' WHEN why IS NOT NULL THEN 'PermanentSkip' ELSE 'Applied' END AS outcome, why FROM vis LEFT JOIN stp USING (shard))
+"""
+
+
+def _poll(spark, d):
+    """Deltas numbered without gaps per shard; shard 3 lost its first ones to compaction; 8 polls of 3 tries each."""
+    x = model.deltas(spark, d)
+    number = F.row_number().over(Window.partitionBy("shard").orderBy("seq"))
+    space = F.col("payload_size") % 13 == 0
+    every = x.select(
+        "shard", number.cast("long").alias("n"), F.when(space, "NamespaceCreate").otherwise(F.col("op")).alias("op"), F.when(~space, F.col("key")).alias("key"),
+        (F.col("key") % 6).alias("ns"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("n"), F.col("key") % 10)).alias("name"),
+    ).withColumnRenamed("n", "seq")
+    cursors = spark.createDataFrame([(0, 0), (1, 40), (2, 0), (3, 0)], "shard long, position long")
+    deltas = every.filter("shard <> 3 OR seq > 5")
+    return deltas, cursors, c.hydrate_poll(deltas, cursors, 8, 3)
+
+
+@query(_POLL + "SELECT shard, seq, op, key, outcome, CASE outcome WHEN 'TransientSkip' THEN why WHEN 'PermanentSkip' THEN 'exhausted_retries' END AS reason, CASE outcome WHEN 'TransientSkip' THEN 2::BIGINT END AS tries FROM o WHERE shard <> 3 UNION ALL SELECT shard, seq, op, key, outcome, NULL, NULL FROM o WHERE shard = 3")
+def hydrate_poll(spark, d):
+    return _poll(spark, d)[2]
+
+
+@query(_POLL + "SELECT cur.shard::BIGINT AS shard, coalesce(max(seq) FILTER (outcome IN ('Applied', 'PermanentSkip')), any_value(position))::BIGINT AS position, max(seq) FILTER (outcome = 'TransientSkip') AS stuck_at, max(CASE outcome WHEN 'TransientSkip' THEN 2::BIGINT END) AS tries, coalesce(bool_or(outcome = 'Halted'), false) AS halted FROM cur LEFT JOIN o ON cur.shard = o.shard GROUP BY 1")
+def hydrate_cursor(spark, d):
+    _, cursors, outcomes = _poll(spark, d)
+    return c.hydrate_cursor(outcomes, cursors)
+
+
+@query(_POLL + """
+, b AS (SELECT shard, ns, name, max(seq) AS seq, arg_max(key, seq) AS key FROM o WHERE outcome = 'Applied' AND op = 'Create' AND name IS NOT NULL GROUP BY 1, 2, 3)
+SELECT shard, ns, name, key FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.shard = b.shard AND o.key = b.key AND o.op = 'Delete' AND o.outcome = 'Applied' AND o.seq > b.seq)
+""")
+def names_index(spark, d):
+    deltas, _, outcomes = _poll(spark, d)
+    return c.names_index(outcomes, deltas)
+
+
 @query("""
-, c AS (SELECT key AS chunk, shard AS tenant, seq, CASE op WHEN 'Delete' THEN -1 ELSE 1 END AS delta FROM deltas),
-r AS (SELECT *, sum(delta) OVER (PARTITION BY tenant, chunk ORDER BY seq ROWS UNBOUNDED PRECEDING) AS raw FROM c),
-m AS (SELECT *, raw - least(min(raw) OVER (PARTITION BY tenant, chunk ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS n FROM r)
-SELECT tenant, chunk, arg_max(n, seq)::BIGINT AS refcount, arg_max(n, seq) = 0 AS tombstoned FROM m GROUP BY 1, 2
+, c AS (SELECT key AS chunk, shard AS tenant, seq AS at, CASE op WHEN 'Delete' THEN 'decrement' WHEN 'Create' THEN 'create' ELSE 'increment' END AS command, payload_size AS len FROM deltas),
+m AS (SELECT tenant, chunk, min(at) AS made, arg_min(len, at) AS len FROM c WHERE command = 'create' GROUP BY 1, 2),
+s AS (SELECT c.tenant, c.chunk, at, CASE command WHEN 'decrement' THEN -1 ELSE 1 END AS step FROM c JOIN m ON c.tenant = m.tenant AND c.chunk = m.chunk WHERE at = made OR (at > made AND command <> 'create')),
+r AS (SELECT *, sum(step) OVER (PARTITION BY tenant, chunk ORDER BY at ROWS UNBOUNDED PRECEDING) AS raw FROM s),
+w AS (SELECT *, raw - least(min(raw) OVER (PARTITION BY tenant, chunk ORDER BY at ROWS UNBOUNDED PRECEDING), 0) AS n FROM r)
+SELECT w.tenant, w.chunk, arg_max(n, at)::BIGINT AS refcount, arg_max(n, at) = 0 AS tombstoned, any_value(made) AS created_at, any_value(made % 7) AS placement, any_value(len) AS original_len FROM w JOIN m ON w.tenant = m.tenant AND w.chunk = m.chunk GROUP BY 1, 2
 """)
 def chunk_state_machine(spark, d):
-    from deltaloom.operators import aggregates
-
-    changes = model.deltas(spark, d).select(F.col("key").alias("chunk"), F.col("shard").alias("tenant"), F.col("seq").alias("at"), F.when(F.col("op") == "Delete", -1).otherwise(1).cast("long").alias("delta"))
-    per = aggregates.refcount_history(changes.withColumn("chunk", F.struct("tenant", "chunk")))
-    last = per.groupBy("chunk").agg(F.max_by("count", "at").alias("refcount"))
-    return last.select("chunk.tenant", "chunk.chunk", "refcount", (F.col("refcount") == 0).alias("tombstoned"))
+    command = F.when(F.col("op") == "Delete", "decrement").when(F.col("op") == "Create", "create").otherwise("increment")
+    rows = model.deltas(spark, d).select(F.col("shard").alias("tenant"), F.col("key").alias("chunk"), F.col("seq").alias("at"), command.alias("command"), (F.col("seq") % 7).alias("placement"), F.col("payload_size").alias("original_len"))
+    return c.chunk_states(rows)

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a temporary one where none is set (tests)."""
+    """A fresh folder under the cluster's checkpoint folder; a temporary one where none is set and one machine does all (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -180,6 +180,123 @@ def test_refcounts(spark):
     assert pick(aggregates.refcount_history(c), "at", "count", "tombstoned") == [(1, 1, False), (2, 0, True), (3, 0, True), (4, 1, False)]
 
 
+def simulated_polls(rows, start, polls, threshold):
+    """The hydrator poll by poll, as it would run: (position, stuck at, tries, outcome by seq)."""
+    position, stuck, spaces, alive, out = start, None, set(), set(), {}
+    for _ in range(polls):
+        for seq, op, key, ns in rows:
+            if seq <= position:
+                continue
+            missing = op == "Create" and key not in alive and ns not in spaces or op == "Update" and key not in alive
+            if missing:
+                tries = (stuck[1] if stuck and stuck[0] == seq else 0) + 1
+                if tries < threshold:
+                    stuck = (seq, tries)
+                    out[seq] = "TransientSkip"
+                    break
+                stuck, out[seq], position = None, "PermanentSkip", seq
+                continue
+            if op == "NamespaceCreate":
+                spaces.add(ns)
+            if op == "Create":
+                alive.add(key)
+            if op == "Delete":
+                alive.discard(key)
+            stuck, out[seq], position = None, "Applied", seq
+    return position, stuck, out
+
+
+@pytest.mark.parametrize(("polls", "threshold"), [(1, 3), (4, 3), (9, 2), (30, 4)])
+def test_polls_of_the_hydrator(spark, polls, threshold):
+    rng = random.Random(polls)
+    rows = [(i, rng.choice(["Create", "Update", "Update", "Delete", "NamespaceCreate"]), rng.randrange(4), rng.randrange(3)) for i in range(1, 60)]
+    position, stuck, out = simulated_polls(rows, 0, polls, threshold)
+    d = spark.createDataFrame([(0, *r) for r in rows] + [(1, 5, "Delete", 1, 1)], "shard long, seq long, op string, key long, ns long")
+    cursors = spark.createDataFrame([(0, 0), (1, 2), (2, 7)], "shard long, position long")
+    found = chunks.hydrate_poll(d, cursors, polls, threshold)
+    got = {r.seq: r.outcome for r in found.filter("shard = 0").collect()}
+    assert got == {s: out.get(s, "Pending") for s, *_ in rows}
+    ends = {r.shard: tuple(r)[1:] for r in chunks.hydrate_cursor(found, cursors).collect()}
+    assert ends == {0: (position, *(stuck or (None, None)), False), 1: (2, None, None, True), 2: (7, None, None, False)}
+
+
+def test_chunk_states(spark):
+    rows = [("t", 1, 1, "increment"), ("t", 1, 2, "create"), ("t", 1, 3, "decrement"), ("t", 1, 4, "decrement"), ("t", 1, 5, "create"), ("t", 2, 6, "create"), ("t", 2, 7, "decrement"), ("t", 2, 8, "increment"), ("u", 1, 9, "decrement")]
+    c = spark.createDataFrame([(*r, [7], r[2] * 10) for r in rows], "tenant string, chunk long, at long, command string, placement array<int>, original_len long")
+    assert pick(chunks.chunk_states(c), "tenant", "chunk", "refcount", "tombstoned", "created_at", "original_len") == [("t", 1, 0, True, 2, 20), ("t", 2, 1, False, 6, 60)]
+
+
+def test_small_objects(spark):
+    rows = [("k", 1, "get", None), ("k", 2, "put", "a"), ("k", 3, "put", "bb"), ("k", 4, "get", None), ("k", 5, "delete", None), ("k", 6, "contains", None), ("k", 7, "delete", None), ("m", 1, "put", "xyz")]
+    ops = spark.createDataFrame(rows, "key string, at long, op string, value string")
+    assert [(r.key, r.at, r.flag, r.value) for r in chunks.small_object_log(ops).orderBy("key", "at").collect()] == [("k", 1, False, None), ("k", 2, True, None), ("k", 3, False, None), ("k", 4, True, "bb"), ("k", 5, True, None), ("k", 6, False, None), ("k", 7, False, None), ("m", 1, True, None)]
+    assert tuple(chunks.small_object_len(ops).first()) == (1, 3)
+
+
+def test_folds(spark):
+    w = spark.createDataFrame([("k", t, n) for t, n in ((0, 5), (4, 5), (11, 0), (30, 0), (31, 200), (32, 1))], "k string, at long, size long")
+    assert [r.bytes for r in sequences.write_batches(w, "k", "at", "size", 100, 10).orderBy("batch").collect()] == [10, 0, 200, 1]
+    s = spark.createDataFrame([("d", i, x) for i, x in enumerate(("Online", "Decommissioned", "Offline", "Draining", "Online", "Draining", "Draining", "Decommissioned", "Online"))], "device string, at long, state string")
+    assert pick(sequences.device_transitions(s), "at", "before", "allowed") == [(1, "Online", False), (2, "Online", True), (3, "Offline", False), (4, "Offline", True), (5, "Online", True), (6, "Draining", False), (7, "Draining", True), (8, "Decommissioned", False)]
+    c = spark.createDataFrame([("o", i, x) for i, x in enumerate((False, True, True, True, False, True))], "owner string, at long, declares boolean")
+    assert pick(sequences.workflow_slots(c, 2), "at", "admitted", "active") == [(0, False, 0), (1, True, 1), (2, True, 2), (3, False, 2), (4, True, 1), (5, True, 2)]
+
+
+def test_clocks_carry(spark):
+    clock = lambda p, n: F.struct(F.lit(p).cast("long").alias("physical"), F.lit(n).cast("long").alias("logical"))
+    merge = lambda a, b, now: spark.range(1).select(sequences.hlc_merge(clock(*a), clock(*b), F.lit(now).cast("long")).alias("m")).first().m
+    top, full = 2**63 - 1, 2**32 - 1
+    assert tuple(merge((5, full), (5, 3), 1)) == (6, 0) and tuple(merge((5, 1), (4, full), 1)) == (5, 2)
+    assert merge((top, full), (0, 0), 0) is None and tuple(merge((5, full), (4, 0), 9)) == (9, 0)
+
+
+def test_fragments_by_definition(spark):
+    import hashlib
+
+    ids = [hashlib.sha256(bytes([i])).digest() for i in range(40)]
+    frame = spark.createDataFrame([(i, x.hex()) for i, x in enumerate(ids)], "chunk long, chunk_id string")
+    devices = [bytes([i]) * 16 for i in (9, 4, 7, 1, 8, 2, 3)]
+
+    def score(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    want, place = [], []
+    for i, x in enumerate(ids):
+        left, rest = list(range(7)), [10, 20, 30, 40, 50, 60, 70]
+        seed = int.from_bytes(x[:8], "little") * 2654435761
+        for f in range(6):
+            best = max(left, key=lambda d: (score(x + f.to_bytes(4, "little") + devices[d]), -d))
+            left.remove(best)
+            want.append((i, f, best, f >= 4))
+            place.append((i, f, rest.pop((seed + f) % 2**64 % len(rest))))
+    assert pick(placement.crush_assign(frame, devices, 4, 2), "chunk", "fragment", "device", "parity") == want
+    assert pick(placement.place_fragments(frame, [10, 20, 30, 40, 50, 60, 70], 6), "chunk", "fragment", "device") == place
+    assert placement.place_fragments(frame, [1, 2], 6).count() == 0
+    with pytest.raises(ValueError, match="devices"):
+        placement.crush_assign(frame, devices[:5], 4, 2)
+
+
+def test_widest_ranges_split_first(spark):
+    rows = placement.ratio_floor_split(spark, placement.shard_ranges(spark, 3, 4), 4, 1.5).collect()
+    assert len(rows) == 6 and [r.range_start for r in rows][1:] == [r.range_end for r in rows][:-1]
+    assert sorted(r.shard for r in rows) == list(range(6)) and rows[0].range_start == "0" * 64 and rows[-1].range_end == "f" * 64
+    assert len(placement.ratio_floor_split(spark, placement.shard_ranges(spark, 3, 4), 2, 1.5).collect()) == 3
+
+
+def test_compression_is_raw_and_bounded(spark):
+    import zlib
+
+    z = coding.compress_pad(64)
+    row = spark.createDataFrame([(bytearray(b"abc" * 500),), (bytearray(b""),)], "p binary").select("p", z("p").alias("z")).select("p", "z", coding.unpad_decompress(2000)("z").alias("back"), coding.unpad_decompress(100)("z").alias("short")).collect()
+    assert all(len(r.z) % 64 == 0 and bytes(r.back) == bytes(r.p) and zlib.decompressobj(-15).decompress(bytes(r.z)) == bytes(r.p) for r in row)
+    assert [r.short is None for r in row] == [True, False]
+    with pytest.raises(ValueError, match="positive"):
+        coding.compress_pad(0)
+
+
 def test_nearest_rank(spark):
     s = spark.createDataFrame([("x", v) for v in (5, 1, 1, 9, 7)] + [("y", 3)], "k string, v long")
     assert pick(aggregates.latency_percentiles(s, "k", "v"), "k", "n", "p50", "p95", "p99") == [("x", 5, 5, 9, 9), ("y", 1, 3, 3, 3)]

@@ -519,7 +519,7 @@ def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int
     scratch.drop("firsts", "fplinks", "crowded")
     known = rows.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
     known = scratch.write(known, "known")
-    sets = scratch.write(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets")
+    sets = scratch.bucketed(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets", "node")
     facts = scratch.write(nodes.join(known, "node", "left_semi").select("node", "n", *SKETCH), "facts")
     scratch.drop("nodes")
     good = scratch.write(_alike(close, sets), "links")
@@ -553,7 +553,8 @@ def drop_copies(docs: DataFrame, bucket: int = BUCKET, id_col: str = "doc_id", t
     columns = docs.columns
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXT_ROWS, **FREE_SHUFFLE):
         boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        marked = scratch.write(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked")
+        # The one exchange that moves texts; later joins come to them.
+        marked = scratch.bucketed(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked", "rid")
         place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
         first = marked.select("id", "rid", "_m.w0", "_m.w1").groupBy("w0", "w1").agg(F.min(place).alias("least"))
         distinct = scratch.write(first.select(F.col("least.rid").alias("node"), "least"), "distinct")

@@ -330,7 +330,7 @@ def _simhash_pairs(nodes: DataFrame, scratch: Scratch, bucket: int) -> DataFrame
     """Pairs that connect what SimHash links: each fingerprint's texts with its first, and the firsts of linked fingerprints."""
     firsts = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
     same = nodes.select("fp", "node").join(firsts, "fp").filter("node <> first").select(*_ordered(F.col("first"), F.col("node")))
-    found = scratch.write(links(firsts.select("fp"), scratch, bucket=bucket), "fplinks")
+    found = links(firsts.select("fp"), scratch, bucket=bucket)
     one, two = (firsts.select(F.col("fp").alias(c), F.col("first").alias("n" + c)) for c in "ab")
     return same.unionByName(found.join(one, "a").join(two, "b").select(*_ordered(F.col("na"), F.col("nb")))).distinct()
 
@@ -516,21 +516,19 @@ def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int
     close = scratch.write(_simhash_pairs(nodes, scratch, bucket), "close")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     rows = scratch.write(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").select("key", "node"), "rows")
-    scratch.drop("firsts", "fplinks", "crowded")
+    scratch.drop("firsts", "crowded")
     known = rows.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    known = scratch.write(known, "known")
-    sets = scratch.bucketed(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets", "node")
     facts = scratch.write(nodes.join(known, "node", "left_semi").select("node", "n", *SKETCH), "facts")
+    known = facts.select("node")
+    sets = scratch.bucketed(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets", "node")
     scratch.drop("nodes")
-    good = scratch.write(_alike(close, sets), "links")
-    roots = _joined_roots(facts.select("node", F.col("node").alias("root")), good, scratch, "roots0")
+    roots = _joined_roots(facts.select("node", F.col("node").alias("root")), _alike(close, sets), scratch, "roots0")
     for k, links_of in enumerate((lambda r: _alike(_star_pairs(r), sets), lambda r: _cross_links(r, sets, bucket)), 1):
         rooted = rows.join(roots, "node")
         apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         rooted = scratch.write(rooted.join(apart, "key", "left_semi").join(facts, "node"), f"apart{k}")
-        good = scratch.write(links_of(rooted), f"links{k}")
-        roots = _joined_roots(roots, good, scratch, f"roots{k}")
-    scratch.drop("close", "rows", "known", "facts", "sets", "links", *(f"{name}{k}" for name in ("links", "apart") for k in (1, 2)))
+        roots = _joined_roots(roots, links_of(rooted), scratch, f"roots{k}")
+    scratch.drop("close", "rows", "facts", "sets", "apart1", "apart2")
     return roots
 
 

@@ -154,8 +154,8 @@ def distinct_by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return values, np.searchsorted(_bucket(values if values.ndim == 1 else values[:, 0], n), np.arange(n + 1)), inverse
 
 
-def make_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int, str]:
-    """The table of blocks (part, block, ids, sizes, data), its bytes and its name."""
+def make_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The table of blocks (part, block, ids, sizes, data) and its bytes; the catalog holds it only until it is resolved."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_data"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -195,9 +195,12 @@ def make_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, b
     dealt = rows.withColumn("part", part_of("_id")).select("part", "_id", "_data").repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_last("_id"), "_data")
     blocks = dealt.mapInArrow(gather, "part int, block int, ids array<long>, sizes array<long>, data binary")
     name = f"deltaloom_blocks_{uuid.uuid4().hex}"
-    with settings(spark, **FREE_SHUFFLE):
-        blocks.write.bucketBy(n, "part").option("path", f"{scratch.root}/blocks").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), facts["bytes"] or 0, name
+    try:
+        with settings(spark, **FREE_SHUFFLE):
+            blocks.write.bucketBy(n, "part").option("path", f"{scratch.root}/blocks").option("compression", "zstd").saveAsTable(name)
+        return spark.table(name), facts["bytes"] or 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay until the scratch folder goes
 
 
 _KEYS = "bucket int, part int, block int, keys binary"
@@ -293,7 +296,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         raise ValueError(f"length must be over {PERIOD}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    blocks, total, table = make_blocks(docs, scratch, id_col, text_col, block_bytes)
+    blocks, total = make_blocks(docs, scratch, id_col, text_col, block_bytes)
     sample_len = length - PERIOD + 1
     samples = max(1, total * len(COVER) // PERIOD)
     n_sample = max(1, -(-samples // bucket_keys))
@@ -376,7 +379,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         out = _per_block(with_edges(marks), "_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary", cut)
         # Written here, while the settings hold that keep the blocks in place.
         out = scratch.write(out, "kept")
-    spark.sql(f"DROP TABLE {table}")
     scratch.drop("blocks", "edges", *(f"marks{k}" for k in range(rounds)))
     return out.withColumnRenamed("_id", id_col)
 

@@ -458,7 +458,7 @@ def _settle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < len(rows) or batch is None:
             r = rows[at] if at < len(rows) else None
             here = r and (r["key"], r["part"])
-            if here != run or r["later"]:
+            if r is None or here != run or r["later"]:
                 if own:
                     held, own = _Rows(own), []
                     found += join(held, held, True, root)

@@ -180,6 +180,10 @@ def test_buckets_settle_inside_tasks(spark, monkeypatch, bucket, held):
     assert classes(range(len(texts)), own + sorted(found)) == classes(range(len(texts)), own + sorted(alike))
 
 
+def test_an_empty_partition_settles_to_nothing():
+    assert list(simhash._settle_sets(iter(()))) == []
+
+
 def test_common_counts_over_slabs(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 9_000, n).astype(np.uint64)) for n in (0, 1, 5, 4_000, 8_000, 20_000)]

@@ -40,7 +40,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
 
 def _contract(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    down = scratch.write(down, f"{label}0")
+    down = scratch.narrow(down, f"{label}0")
     state, k = None, 0
     while True:
         now = down.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
@@ -49,6 +49,6 @@ def _contract(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         state, k = now, k + 1
         both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _large_star(both).filter("a <> b").distinct()  # both uses of it read one exchange
-        nxt = scratch.write(_small_star(large).filter("a <> b").distinct(), f"{label}{k}")
+        nxt = scratch.narrow(_small_star(large).filter("a <> b").distinct(), f"{label}{k}")
         scratch.drop(f"{label}{k - 1}")
         down = nxt

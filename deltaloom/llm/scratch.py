@@ -65,6 +65,16 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def narrow(self, df: DataFrame, name: str) -> DataFrame:
+        """As :meth:`write`, for rows of a few numbers: two tasks a core write them, or one for eight shuffle partitions.
+
+        A task reads its shuffle partitions one after the other, so it holds no
+        more than before.  Hadoop's local file system starts a process for every
+        file that it makes, which costs more than such a file's rows.
+        """
+        tasks = max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        return self.write(df.coalesce(tasks), name)
+
     def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """As :meth:`write`, dealt by ``key`` in one exchange; joins on it leave these rows where they are.
 

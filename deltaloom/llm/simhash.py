@@ -166,7 +166,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: i
     family = masks(radius)
     tables = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(family))))
     keyed = distinct.select("fp", tables.alias("_e")).select("_e.t", "_e.key", "fp")
-    crowded = scratch.write(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("t", "key"), "crowded")
+    crowded = scratch.narrow(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("t", "key"), "crowded")
     some = crowded.limit(1).count() > 0
     rest = keyed.join(crowded, ["t", "key"], "left_anti") if some else keyed
     found = rest.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda b: _settle(b, radius), "a long, b long")
@@ -211,15 +211,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, id_col, text_col, shingle), "marked")
-    distinct = scratch.write(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    distinct = scratch.narrow(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     edges = scratch.write(links(distinct.select("fp"), scratch, radius, bucket), "links")
     roots = components(edges, scratch)
     scratch.drop("links", "crowded")
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = scratch.write(named, "named")
+    named = scratch.narrow(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    classes = scratch.write(classes, "classes")
+    classes = scratch.narrow(classes, "classes")
     scratch.drop("named", "distinct")
     return marked.join(classes, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
@@ -328,7 +328,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _simhash_pairs(nodes: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
     """Pairs that connect what SimHash links: each fingerprint's texts with its first, and the firsts of linked fingerprints."""
-    firsts = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    firsts = scratch.narrow(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
     same = nodes.select("fp", "node").join(firsts, "fp").filter("node <> first").select(*_ordered(F.col("first"), F.col("node")))
     found = links(firsts.select("fp"), scratch, bucket=bucket)
     one, two = (firsts.select(F.col("fp").alias(c), F.col("first").alias("n" + c)) for c in "ab")
@@ -495,7 +495,7 @@ def _joined_roots(roots: DataFrame, good: DataFrame, scratch: Scratch, name: str
     edges = good.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     moved = components(edges, scratch, name + "_").withColumnsRenamed({"node": "_old", "root": "_new"})
     out = roots.join(moved, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
-    return scratch.write(out, name)
+    return scratch.narrow(out, name)
 
 
 def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
@@ -513,12 +513,12 @@ def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(_shingle_hashes(*_cut(t), COPY_SHINGLE)).tobytes() for t in texts], dtype=object)
 
-    close = scratch.write(_simhash_pairs(nodes, scratch, bucket), "close")
+    close = scratch.narrow(_simhash_pairs(nodes, scratch, bucket), "close")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    rows = scratch.write(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").select("key", "node"), "rows")
+    rows = scratch.narrow(keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").select("key", "node"), "rows")
     scratch.drop("firsts", "crowded")
     known = rows.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    facts = scratch.write(nodes.join(known, "node", "left_semi").select("node", "n", *SKETCH), "facts")
+    facts = scratch.narrow(nodes.join(known, "node", "left_semi").select("node", "n", *SKETCH), "facts")
     known = facts.select("node")
     sets = scratch.bucketed(texts.join(known, "node", "left_semi").select("node", shingles("text").alias("shingles")), "sets", "node")
     scratch.drop("nodes")
@@ -526,7 +526,7 @@ def copy_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, bucket: int
     for k, links_of in enumerate((lambda r: _alike(_star_pairs(r), sets), lambda r: _cross_links(r, sets, bucket)), 1):
         rooted = rows.join(roots, "node")
         apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        rooted = scratch.write(rooted.join(apart, "key", "left_semi").join(facts, "node"), f"apart{k}")
+        rooted = scratch.narrow(rooted.join(apart, "key", "left_semi").join(facts, "node"), f"apart{k}")
         roots = _joined_roots(roots, links_of(rooted), scratch, f"roots{k}")
     scratch.drop("close", "rows", "facts", "sets", "apart1", "apart2")
     return roots
@@ -555,13 +555,13 @@ def drop_copies(docs: DataFrame, bucket: int = BUCKET, id_col: str = "doc_id", t
         marked = scratch.bucketed(_copy_marks(boxed, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "marked", "rid")
         place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
         first = marked.select("id", "rid", "_m.w0", "_m.w1").groupBy("w0", "w1").agg(F.min(place).alias("least"))
-        distinct = scratch.write(first.select(F.col("least.rid").alias("node"), "least"), "distinct")
+        distinct = scratch.narrow(first.select(F.col("least.rid").alias("node"), "least"), "distinct")
         once = marked.join(distinct.select("node"), F.col("rid") == F.col("node"), "left_semi")
         nodes = scratch.write(once.select(F.col("rid").alias("node"), *(F.col("_m").getField(c).alias(c) for c in ("n", "fp", *SKETCH, "keys"))), "nodes")
         texts = marked.select(F.col("rid").alias("node"), F.col("row").getField(text_col).alias("text"))
         roots = copy_roots(nodes, texts, scratch, bucket).withColumnRenamed("node", "_node")
         rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("least", F.coalesce("root", "node").alias("root"))
-        kept = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
+        kept = scratch.narrow(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid")), "kept")
     scratch.drop("distinct", "roots0", "roots1", "roots2")
     return marked.join(kept, F.col("rid") == F.col("_rid"), "left_semi").select(*(F.col("row").getField(c).alias(c) for c in columns))
 

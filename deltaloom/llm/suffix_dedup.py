@@ -73,7 +73,7 @@ class _Powers:
 
 _powers = _Powers(_MULTIPLIER, b"suffix symbols")
 _powers2 = _Powers(_SECOND, b"second suffix symbols")
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 15  # its tables stay in a core's cache
 
 
 def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None, powers: _Powers = _powers) -> np.ndarray:
@@ -86,21 +86,26 @@ def window_hashes(data: np.ndarray, length: int, at: np.ndarray | None = None, p
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n if at is None else len(at), np.uint64)
-    for lo in range(0, n, _SEGMENT):
-        hi = min(n, lo + _SEGMENT)
-        part = data[lo : hi + length - 1]
+    starts = range(0, n, _SEGMENT)
+    cuts = [*starts, n] if at is None else np.searchsorted(at, [*starts, n]).tolist()
+    for lo, i, j in zip(starts, cuts, cuts[1:], strict=False):
+        if i == j:
+            continue
+        part = data[lo : min(n, lo + _SEGMENT) + length - 1]
         up, down = powers.upto(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(powers.symbol[part] * up, out=sums[1:])
-        if at is None:
-            out[lo:hi] = (sums[length:] - sums[:-length]) * down[: hi - lo]
+        own = out[i:j]
+        if at is None or 8 * (j - i) > len(part):  # most of them are wanted: no three gathers
+            every = sums[length:] - sums[:-length]
+            every *= down[: len(every)]
+            own[:] = every if at is None else every[at[i:j] - lo]
         else:
-            i, j = np.searchsorted(at, [lo, hi])
             p = at[i:j] - lo
-            out[i:j] = (sums[p + length] - sums[p]) * down[p]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
+            own[:] = (sums[p + length] - sums[p]) * down[p]
+        own ^= own >> np.uint64(32)
+        own *= np.uint64(0xD6E8FEB86659FD93)
+        own ^= own >> np.uint64(32)
     return out
 
 
@@ -109,14 +114,45 @@ def window_pairs(data: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
     return np.stack([window_hashes(data, length, at), window_hashes(data, length, at, _powers2)], axis=1)
 
 
-def _rising(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order of keys (words or rows of words, the first counts most), and where it starts a new key."""
+def _rising(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The stable order of keys (words or rows of words, the first counts most), where it starts a new key, and the words in that order.
+
+    The leading bits of the first word and the row's number are sorted as one
+    word; of keys alike in those bits, only such as differ are sorted again.
+    """
     rows = keys if keys.ndim == 2 else keys[:, None]
-    order = np.argsort(rows[:, 0], kind="stable") if rows.shape[1] == 1 else np.lexsort(rows.T[::-1])
-    ordered = rows[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-    return order, first
+    n = len(rows)
+    if n < 2:
+        return np.arange(n), np.ones(n, bool), list(rows.T)
+    low = np.uint64((n - 1).bit_length())
+    number = (np.uint64(1) << low) - np.uint64(1)
+    packed = rows[:, 0] - rows[:, 0].min()
+    packed <<= np.uint64(min(63, 64 - int(packed.max()).bit_length()))
+    packed &= ~number
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & number).astype(np.int64)
+    ahead = np.ones(n, bool)
+    ahead[1:] = (packed[1:] ^ packed[:-1]) > number
+
+    def arranged() -> tuple[list[np.ndarray], np.ndarray]:
+        words, first = [word[order] for word in rows.T], np.ones(n, bool)
+        first[1:] = words[0][1:] != words[0][:-1]
+        for word in words[1:]:
+            first[1:] |= word[1:] != word[:-1]
+        return words, first
+
+    words, first = arranged()
+    mixed = first & ~ahead
+    if mixed.any():
+        run = np.cumsum(ahead) - 1
+        dirty = np.zeros(run[-1] + 1, bool)
+        dirty[run[mixed]] = True
+        at = np.flatnonzero(dirty[run])
+        own = order[at]
+        order[at] = own[np.lexsort((own, *rows[own].T[::-1], run[at]))]
+        words, first = arranged()
+    return order, first, words
 
 
 def _inside(sizes: np.ndarray, length: int) -> np.ndarray:
@@ -139,8 +175,18 @@ def sample_positions(sizes: np.ndarray, length: int) -> np.ndarray:
     return starts[_inside(sizes, length)[starts]]
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def _bounds(n: int) -> np.ndarray:
+    """The first key of each of ``n`` buckets but the first: equal ranges of a key's upper half."""
+    b = np.arange(1, n, dtype=np.uint64) << np.uint64(32)
+    return (b + np.uint64(n - 1)) // np.uint64(n) << np.uint64(32)
+
+
+def _distinct(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in rising order (which is bucket order), the bounds of buckets among them, the order of all keys and where it starts a new one."""
+    order, first, words = _rising(keys)
+    words = [word[first] for word in words]
+    bounds = np.concatenate([[0], np.searchsorted(words[0], _bounds(n)), [len(words[0])]])
+    return words[0] if keys.ndim == 1 else np.stack(words, axis=1), bounds, order, first
 
 
 def distinct_by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,10 +194,10 @@ def distinct_by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
     A key is a word or a row of words; its first word chooses the bucket.
     """
-    order, first = _rising(keys)
-    values, inverse = keys[order[first]], np.empty(len(keys), np.int64)
+    values, bounds, order, first = _distinct(keys, n)
+    inverse = np.empty(len(keys), np.int64)
     inverse[order] = np.cumsum(first) - 1
-    return values, np.searchsorted(_bucket(values if values.ndim == 1 else values[:, 0], n), np.arange(n + 1)), inverse
+    return values, bounds, inverse
 
 
 def make_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
@@ -207,7 +253,7 @@ _KEYS = "bucket int, part int, block int, keys binary"
 _MARKS = "part int, block int, bucket int, marks binary"
 
 
-def _emit_keys(values: np.ndarray, bounds: np.ndarray, part: int, block: int, width: int, buckets: range | np.ndarray) -> pa.RecordBatch:
+def _emit_keys(values: np.ndarray, bounds: np.ndarray, part: int, block: int, width: int, buckets: range) -> pa.RecordBatch:
     full = [b for b in buckets if bounds[b] < bounds[b + 1]]
     low = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), 8 * values[0].size)[:, :width] if len(values) else values
     blobs = [low[bounds[b] : bounds[b + 1]].tobytes() for b in full]
@@ -225,7 +271,7 @@ def _sort_buckets(keys: DataFrame, width: int, mark: Callable[[np.ndarray], np.n
         sizes = [len(k) // width for _, _, k in rows]
         wide = np.zeros((sum(sizes), 8 * -(-width // 8)), np.uint8)
         wide[:, :width] = np.frombuffer(b"".join(k for _, _, k in rows), np.uint8).reshape(-1, width)
-        order, first = _rising(wide.view("<u8"))  # rows come in block order
+        order, first, _ = _rising(wide.view("<u8"))  # rows come in block order
         marks = np.empty(len(order), bool)
         marks[order] = mark(first)
         bits = [np.packbits(m).tobytes() for m in np.split(marks, np.cumsum(sizes)[:-1])]
@@ -303,23 +349,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     # Chance repeats among sampled strings only cost work: ten bits over the number of samples.
     width = min(8, max(4, -(-(samples.bit_length() + 10) // 8)))
     n_window = max(rounds, -(-total // (2 * bucket_keys)))
+    starts = _bounds(n_window)
 
-    def sample_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def sample_of(row: dict) -> tuple[np.ndarray, ...]:
         at = sample_positions(row["sizes"], sample_len)
         keys = window_hashes(row["data"], sample_len, at) if len(at) else np.zeros(0, np.uint64)
         # The low bytes travel, the high ones choose the bucket.
-        return at, *distinct_by_bucket(keys, n_sample)
+        return at, *_distinct(keys, n_sample)
 
     def send_sample(row: dict) -> Iterator[pa.RecordBatch]:
-        _, values, bounds, inverse = sample_of(row)
+        _, values, bounds, _, _ = sample_of(row)
         # What repeats inside the block is known here; each of its strings is sent once.
         yield _emit_keys(values, bounds, row["part"], row["block"], width, range(n_sample))
 
     def candidates(row: dict) -> Iterator[pa.RecordBatch]:
-        at, values, bounds, inverse = sample_of(row)
-        marked = _unpack(row["found"], bounds)
-        marked |= np.bincount(inverse, minlength=len(values)) > 1
-        hit = at[marked[inverse]]
+        at, _, bounds, order, first = sample_of(row)
+        elsewhere = _unpack(row["found"], bounds)
+        hit = at[order[elsewhere[np.cumsum(first) - 1] | _repeated(first)]]
         step = np.zeros(len(row["data"]) + 1, np.int64)
         np.add.at(step, np.maximum(hit - PERIOD + 1, 0), 1)
         np.add.at(step, hit + 1, -1)
@@ -327,11 +373,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
         yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([edges.tolist()], pa.list_(pa.int32()))], names=["part", "block", "edges"])
 
-    def windows_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    def windows_of(row: dict, low: int = 0, high: int = n_window) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and keys of the windows in buckets from ``low`` and below ``high``."""
         edges = np.array(row["edges"] or [], np.int64).reshape(-1, 2)
         sizes = edges[:, 1] - edges[:, 0]
         at = np.repeat(edges[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return at, window_pairs(row["data"], length, at) if len(at) else np.zeros((0, 2), np.uint64)
+        if not len(at):
+            return at, np.zeros((0, 2), np.uint64)
+        keys = window_hashes(row["data"], length, at)
+        inside = np.ones(len(at), bool)
+        if low > 0:
+            inside &= keys >= starts[low - 1]
+        if high < n_window:
+            inside &= keys < starts[high - 1]
+        if not inside.all():
+            at, keys = at[inside], keys[inside]
+        return at, np.stack([keys, window_hashes(row["data"], length, at, _powers2)], axis=1)
 
     def with_edges(marks: DataFrame | None = None) -> DataFrame:
         small = edges if marks is None else _with_marks(edges, marks)
@@ -340,15 +397,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
         at, keys = windows_of(row)
-        values, bounds, inverse = distinct_by_bucket(keys, n_window)
+        _, bounds, order, first = _distinct(keys, n_window)
         elsewhere = _unpack(row["found"], bounds)
-        order = np.argsort(inverse, kind="stable")
-        again = np.ones(len(inverse), bool)
-        again[order[np.concatenate([[True], np.diff(inverse[order]) > 0])] if len(order) else order] = False
-        gone = at[elsewhere[inverse] | again]
+        gone = at[order[elsewhere[np.cumsum(first) - 1] | ~first]]
         step = np.zeros(len(row["data"]) + 1, np.int64)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + length, -1)
+        step[gone] += 1  # no position twice
+        step[gone + length] -= 1
         covered = np.cumsum(step[:-1]) > 0
         out_spans, kept, start = [], [], 0
         for size in row["sizes"].tolist():
@@ -367,10 +421,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         scratch.drop("ranks")
         marks = None
         for k in range(rounds):
-            mine = [b for b in range(n_window) if b % rounds == k]
+            mine = range(k * n_window // rounds, (k + 1) * n_window // rounds)
 
             def send_windows(row: dict, mine=mine) -> Iterator[pa.RecordBatch]:
-                values, bounds, _ = distinct_by_bucket(windows_of(row)[1], n_window)
+                values, bounds, _, _ = _distinct(windows_of(row, mine.start, mine.stop)[1], n_window)
                 yield _emit_keys(values, bounds, row["part"], row["block"], 16, mine)
 
             found = _sort_buckets(_per_block(with_edges(), _KEYS, send_windows), 16, _later)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -368,6 +369,41 @@ def test_windows_that_share_one_fingerprint_stay_apart(spark):
     assert (pairs[:, 0] != pairs[:, 1]).all()
 
 
+@pytest.mark.parametrize("mask", [(1 << 64) - 1, 3, 0xFFFF0000000000FF, (1 << 40) - 1])
+@pytest.mark.parametrize("n", [0, 1, 2, 5000, 70_000])
+def test_rising_order_is_that_of_whole_keys(n, mask):
+    keys = np.random.default_rng(n).integers(0, 1 << 64, (n, 2), np.uint64)
+    keys[:, 0] &= np.uint64(mask)  # alike in the leading bits, apart below or in the second word
+    keys[:, 1] &= np.uint64(1)
+    keys[n // 2 :: 5] = keys[: len(keys[n // 2 :: 5])]
+    for rows in (keys, keys[:, :1]):
+        order, first, words = suffix_dedup._rising(rows)
+        want = np.lexsort(rows.T[::-1])
+        assert (order == want).all() and (np.stack(words, axis=1) == rows[want]).all()
+        assert (first[1:] == (rows[want][1:] != rows[want][:-1]).any(axis=1)).all() and first[:1].all()
+
+
+def test_buckets_are_equal_ranges_of_keys():
+    for n in (1, 3, 7, 128):
+        bounds = [0, *suffix_dedup._bounds(n).tolist(), 1 << 64]
+        for b in range(n):
+            assert [(k >> 32) * n >> 32 for k in (bounds[b], bounds[b + 1] - 1)] == [b, b]
+
+
+def test_order_of_keys_costs_less_than_a_sort_of_both_words():
+    keys = np.random.default_rng(5).integers(0, 1 << 64, (400_000, 2), np.uint64)
+
+    def least(work):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: suffix_dedup._rising(keys)) < 0.7 * least(lambda: np.lexsort(keys.T[::-1]))
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 3_000])
 def test_removal_of_repeats(spark, edge, edge_rows, empty, block_bytes):
     from .conftest import BASE, prose
